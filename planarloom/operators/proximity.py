@@ -99,7 +99,7 @@ def regions(polygons: DataFrame, ident: str, ring: str) -> DataFrame:
     Null rings, rings with null points or coordinates, unclosed and short ones are no regions.
     """
     r = F.col("r")
-    closed = (F.size(r) >= 4) & (F.element_at(r, 1)["lon"] == F.element_at(r, -1)["lon"]) & (F.element_at(r, 1)["lat"] == F.element_at(r, -1)["lat"])
+    closed = (F.size(r) >= 4) & (F.try_element_at(r, F.lit(1))["lon"] == F.try_element_at(r, F.lit(-1))["lon"]) & (F.try_element_at(r, F.lit(1))["lat"] == F.try_element_at(r, F.lit(-1))["lat"])
     whole = ~F.exists(r, lambda p: p["lon"].isNull() | p["lat"].isNull())
     rows = polygons.select(F.col(ident).alias("region"), F.col(ring).alias("r")).where("region is not null and r is not null").where(closed & whole)
     return rows.select("region", F.transform("r", lambda p: p["lon"]).alias("xs"), F.transform("r", lambda p: p["lat"]).alias("ys")).distinct()
