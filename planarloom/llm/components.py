@@ -13,11 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarloom.runtime import Workspace, skew_join
+from planarloom.runtime import HOT_MIN_ROWS, Workspace, skew_join
 
 MAX_ROUNDS = 64
 
 
+def linked_groups(matches: DataFrame, faces: DataFrame, work: Workspace) -> DataFrame:
+    """``face``, ``group_id`` (the group's smallest face) of every face linked to another one.
+
+    Two faces are linked by a row of ``matches`` whose ``is_match`` is true and whose ``face_a`` and ``face_b`` both are
+    in ``faces``; undecided, false and dangling rows link nothing.
+    """
+    known = work.cut(faces.select("face").where("face is not null").distinct(), "faces")
+    links = work.cut(matches.where("is_match and face_a <> face_b").select("face_a", "face_b").distinct(), "links")
+    n = links.count()
+    for side in ("face_a", "face_b"):
+        links = skew_join(links, known.withColumnRenamed("face", side), side, "inner", n)
+        if side == "face_a" and n > HOT_MIN_ROWS:
+            links = work.cut(links, "half-links")
+    return connected_components(links, "face_a", "face_b", work).withColumnRenamed("node", "face")
+
+
 def connected_components(pairs: DataFrame, a: str, b: str, work: Workspace) -> DataFrame:
     """``node``, ``group_id`` (the group's smallest node) of every node with a pair to another node.
 

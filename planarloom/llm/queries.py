@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planarloom.llm.components import linked_groups
 from planarloom.llm.term_stats import TermStats, tag_changes, type_changes
 from planarloom.runtime import Workspace
 from planarloom.sources.tables import table
@@ -16,7 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.marked(3, 0.1).where("mark is not null").select("field", "term", "mark")
 
 
-QUERIES = {"p1_found": p1_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every linked face with the smallest face of its group."""
+    return linked_groups(table(spark, sf_dir, "face_match"), table(spark, sf_dir, "face"), Workspace(spark, "p4"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
 
 ORACLE = {
     "p1_found": """
@@ -26,4 +32,10 @@ ORACLE = {
         n AS (SELECT field, term, count(DISTINCT way_id) AS n FROM term GROUP BY field, term),
         total AS (SELECT 'tags' AS field, count(DISTINCT way_id) AS m FROM way UNION ALL SELECT 'type', count(DISTINCT way_id) FROM landuse)
         SELECT field, term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS mark FROM n JOIN total USING (field) WHERE n < 3 OR n > 0.1 * m""",
+    "p4_found": """
+        WITH RECURSIVE link AS (SELECT face_a AS a, face_b AS b FROM face_match WHERE is_match AND face_a <> face_b
+            AND face_a IN (SELECT face FROM face) AND face_b IN (SELECT face FROM face)),
+        ends AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT a AS face, a AS other FROM ends UNION SELECT face, b FROM reach JOIN ends ON other = a)
+        SELECT face, min(other) AS group_id FROM reach GROUP BY face""",
 }
