@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planarloom.llm.canon import map_values, typed_values
 from planarloom.llm.components import linked_groups
+from planarloom.llm.leakage import leaked
+from planarloom.llm.packing import pack
+from planarloom.llm.splitting import long_texts, pieces
 from planarloom.llm.term_stats import TermStats, tag_changes, type_changes
 from planarloom.runtime import Workspace
 from planarloom.sources.tables import table
@@ -22,7 +26,41 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_groups(table(spark, sf_dir, "face_match"), table(spark, sf_dir, "face"), Workspace(spark, "p4"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that is not in the reference list to the letter, with the entry it means, 0 if none."""
+    values = typed_values(table(spark, sf_dir, "way"), table(spark, sf_dir, "landuse"))
+    return map_values(values, table(spark, sf_dir, "canon_value")).select("origin", "way_id", "k", "canon_id").distinct()
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a container of at most 2,048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), Workspace(spark, "p7"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a passage of a held-out item."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of more than 1,024 tokens, and their lines of more."""
+    return long_texts(table(spark, sf_dir, "documents"))
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of at most 1,024 tokens of these texts."""
+    return pieces(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_pieces": p9_pieces,
+}
 
 ORACLE = {
     "p1_found": """
