@@ -74,7 +74,8 @@ TRIANGLES = "region bigint, parity boolean, ax double, ay double, bx double, by
 
 def triangulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Triangles of rings (region, xs, ys). A ring that crosses itself, so that ear clipping stops, gives the fan of
-    triangles from its first point with ``parity``: a point is inside iff an odd number of them holds it."""
+    triangles from its first point with ``parity``: a point is inside iff an odd number of them holds it by the half-open
+    even-odd test, in which the diagonals that two of them share cancel and the ring's own edges are left."""
     names = [c.split()[0] for c in TRIANGLES.split(", ")]
     for pdf in batches:
         rows = []
@@ -106,7 +107,8 @@ def regions(polygons: DataFrame, ident: str, ring: str) -> DataFrame:
 
 
 def points_in_rings(points: DataFrame, ident: str, polygons: DataFrame, region: str, ring: str, work: Workspace, treelets: int = 4096, block: int = 50_000) -> DataFrame:
-    """``id``, ``region`` of every point inside or on the border of a region; each pair once.
+    """``id``, ``region`` of every point inside or on the border of a region; each pair once. Of a ring that crosses itself,
+    points inside by the half-open even-odd test on its edges count.
 
     ``treelets`` bounds the upper tree, whose boxes go to the driver and to every task. ``block`` bounds how many points
     a task takes of a treelet: a treelet with more is split over several tasks. See ``regions`` and ``located`` for the
@@ -151,7 +153,12 @@ def points_in_rings(points: DataFrame, ident: str, polygons: DataFrame, region:
         p, k = tree.hits(x, y)
         d = [orient_many(xs[k, i], ys[k, i], xs[k, (i + 1) % 3], ys[k, (i + 1) % 3], x[p], y[p]) for i in range(3)]
         m = np.stack(d)
-        ok = (m.min(0) >= 0) | (m.max(0) <= 0)
+        closed = (m.min(0) >= 0) | (m.max(0) <= 0)
+        crossed = np.zeros(len(p), bool)
+        for i in range(3):
+            ya, yb = ys[k, i], ys[k, (i + 1) % 3]
+            crossed ^= ((ya > y[p]) != (yb > y[p])) & (np.where(yb > ya, d[i], -d[i]) > 0)
+        ok = np.where(ts["parity"].to_numpy(bool)[k], crossed, closed)
         p, k = p[ok], k[ok]
         out = pd.DataFrame({"id": pts["id"].to_numpy()[p], "region": ts["region"].to_numpy()[k], "parity": ts["parity"].to_numpy()[k], "lon": x[p], "lat": y[p]})
         return out.groupby(["id", "region", "parity", "lon", "lat"], as_index=False).size().rename(columns={"size": "n"})

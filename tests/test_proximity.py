@@ -84,3 +84,22 @@ def test_ear_clipping_keeps_the_area():
             continue
         area = lambda t: sum(t[i][0] * t[(i + 1) % len(t)][1] - t[(i + 1) % len(t)][0] * t[i][1] for i in range(len(t))) / 2
         assert sum(area([ring[i] for i in t]) for t in ears) == pytest.approx(abs(area(ring)))
+
+
+def test_crossing_ring_keeps_points_on_fan_diagonals(spark):
+    from fractions import Fraction
+
+    crossing = {
+        1: [(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (5.0, 8.0), (7.0, 8.0), (0.0, 6.0), (0.0, 0.0)],
+        2: [(0.0, 0.0), (8.0, 8.0), (8.0, 0.0), (0.0, 8.0), (0.0, 0.0)],
+        3: [(4.0, 8.0), (6.0, 0.0), (0.0, 5.0), (8.0, 5.0), (2.0, 0.0), (4.0, 8.0)],
+    }
+    assert all(ear_clip(clean_ring([p[0] for p in r], [p[1] for p in r])) is None for r in crossing.values())
+    pts = {17 * i + j: (i / 2, j / 2) for i in range(17) for j in range(17)}
+    whole = {k: [(Fraction(x), Fraction(y)) for x, y in r] for k, r in crossing.items()}
+    want = {(i, k) for i, (x, y) in pts.items() for k, r in whole.items() if even_odd(Fraction(x), Fraction(y), r)}
+    assert (17 * 6 + 6, 1) in want  # (3, 3)
+    poly = spark.createDataFrame([(k, r, "") for k, r in crossing.items()], POLY)
+    v = spark.createDataFrame([(i, *p, "") for i, p in pts.items()], PTS)
+    for treelets in (1, 5):
+        assert {tuple(r) for r in P.points_in_rings(v, "v", poly, "way_id", "ring", Workspace(spark, "t"), treelets=treelets).collect()} == want
