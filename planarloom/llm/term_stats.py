@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planarloom.operators.compaction import SnapshotStore
-from planarloom.runtime import Workspace
+from planarloom.runtime import Workspace, hadoop_path
 
 #: Columns of a change: the field, the record, its version (the latest of a batch counts), its terms (null: deleted).
 CHANGE = ["field", "rec_id", "version", "terms"]
@@ -24,13 +24,31 @@ def bucket_of(n: int, *cols: str) -> Column:
 
 
 class TermStats:
-    """Persistent counts per (field, term): ``n_occ`` occurrences in ``n_rec`` records."""
+    """Persistent counts per (field, term): ``n_occ`` occurrences in ``n_rec`` records.
 
-    def __init__(self, work: Workspace, buckets: int = 32):
+    They are kept below ``path``, which outlives the session: another ``TermStats`` on it goes on from there. Without
+    ``path`` they are kept in the workspace and end with it. One writer at a time.
+    """
+
+    def __init__(self, work: Workspace, buckets: int = 32, path: str | None = None):
         self.work, self.spark, self.buckets = work, work.spark, buckets
-        self.state = SnapshotStore(self.spark, f"{work.path}/state", "bucket")
-        self.counts = SnapshotStore(self.spark, f"{work.path}/counts", "bucket")
+        root = (path or work.path).rstrip("/")
+        self.state = SnapshotStore(self.spark, f"{root}/state", "bucket")
+        self.counts = SnapshotStore(self.spark, f"{root}/counts", "bucket")
         self.batches = 0
+        self._check_store(root)
+
+    def _check_store(self, root: str) -> None:
+        """The store's number of buckets is this one's, and its last batch reached both tables."""
+        fs, p = hadoop_path(self.spark, f"{root}/_buckets")
+        known = [int(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        if known and known != [self.buckets]:
+            raise ValueError(f"{root} has {known[0]} buckets")
+        if not known:
+            fs.mkdirs(hadoop_path(self.spark, f"{root}/_buckets/{self.buckets}")[1])
+        # A batch publishes a version of each table, the counts first.
+        if self.counts.version() != self.state.version():
+            raise RuntimeError(f"{root}: a batch ended between counts and state; build it anew from all records")
 
     def apply(self, changes: DataFrame) -> None:
         """Merge a batch of changed records. Of several rows of a record the highest ``version`` counts (ties: the

@@ -1,4 +1,6 @@
 import __spark_entry__ as entry
+import pytest
+
 from planarloom.llm import term_stats as T
 from planarloom.runtime import Workspace
 
@@ -24,3 +26,16 @@ def test_deltas_update_the_counts(spark):
     stats.apply(spark.createDataFrame([("f", 1, 2, ["b"]), ("f", 2, 2, None), ("f", 4, 2, ["a"]), ("f", 9, 2, None)], schema))
     assert sorted(tuple(r) for r in stats.terms().collect()) == [("f", "a", 1, 1), ("f", "b", 1, 1)]
     assert [tuple(r) for r in stats.totals().collect()] == [("f", 3)]
+
+
+def test_a_later_session_goes_on_from_the_store(spark, tmp_path):
+    schema = "field string, rec_id bigint, version int, terms array<string>"
+    work = Workspace(spark, "t")
+    T.TermStats(work, buckets=3, path=str(tmp_path / "store")).apply(spark.createDataFrame([("f", 1, 1, ["a", "b"]), ("f", 2, 1, ["a"])], schema))
+    work._remove(work.path)  # as at the session's end
+    again = T.TermStats(Workspace(spark, "t"), buckets=3, path=str(tmp_path / "store"))
+    again.apply(spark.createDataFrame([("f", 1, 2, ["b", "b"]), ("f", 3, 2, ["a"])], schema))
+    assert sorted(tuple(r) for r in again.terms().collect()) == [("f", "a", 2, 2), ("f", "b", 2, 1)]
+    assert [tuple(r) for r in again.totals().collect()] == [("f", 3)]
+    with pytest.raises(ValueError):
+        T.TermStats(Workspace(spark, "t"), buckets=4, path=str(tmp_path / "store"))
