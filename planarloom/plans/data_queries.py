@@ -16,7 +16,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_folder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many files, small files and bytes each folder has, by which compaction chooses."""
+    """How many files, files under 4,096 bytes and bytes each folder has. Compaction chooses by its own, larger limit."""
     stats = compaction.folder_stats(table(spark, sf_dir, "cache_file"), 4096)
     return stats.select("cache_folder", "n_files", "n_small", F.col("n_bytes").cast("bigint").alias("n_bytes"))
 
