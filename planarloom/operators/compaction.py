@@ -1,22 +1,32 @@
 """Many tiny files into few well-sized ones, partition by partition, under snapshot versions.
 
 A ``SnapshotStore`` is a partitioned parquet dataset below one folder. Each commit writes its partitions, with dynamic
-overwrite, into directories of their own (``<partition>/snap=<n>``), then publishes manifest ``n``: the live
-``(partition, snap)`` pairs. Readers see a published manifest only, so a writer that fails, or is run again by a retried
-job, leaves no half-written or doubled records. A commit names the version it started from; when another commit changed
-one of its partitions since then it is refused (``ConflictError``), when other partitions changed it is rebased.
+overwrite, into directories of their own (``<partition>/snap=<n>``), then publishes version ``n``: a commit file that
+names a manifest (the live directories) and the partitions it touched. Readers see a published version only and read its
+directories by path, so a writer that fails, or is run again by a retried job, leaves no half-written or doubled records,
+and old snapshots cost no listing. A commit names the version it started from; when another commit changed one of its
+partitions since then it is refused (``ConflictError``), when other partitions changed it is rebased. Manifests hold a
+line per live directory, never one per record or file; the driver reads and writes them.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planarloom.runtime import Workspace, broadcast_if_small, hadoop_path, skew_join
+from planarloom.runtime import Workspace, hadoop_path
+
+#: Directories one scan takes; more are read by several scans, one after the other in the plan.
+DIRS_PER_SCAN = 5_000
 
 
 class ConflictError(RuntimeError):
@@ -24,94 +34,122 @@ class ConflictError(RuntimeError):
 
 
 class SnapshotStore:
-    """Partitioned parquet data with snapshot versions; ``part`` is the partition column."""
+    """Partitioned parquet data with snapshot versions; ``part`` is the partition column.
+
+    Publishing needs a file system whose rename without overwrite is atomic (HDFS and POSIX are; on an object store put
+    the ``_commits`` folder where conditional writes exist). Data files may lie anywhere.
+    """
 
     def __init__(self, spark: SparkSession, path: str, part: str):
         self.spark, self.path, self.part = spark, path.rstrip("/"), part
 
     def version(self) -> int:
         """The newest published version; 0 when nothing is published."""
-        fs, p = hadoop_path(self.spark, f"{self.path}/_commits")
-        return max((int(x.getPath().getName()) for x in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+        return max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
+        return [int(x) for x in self._list("_commits") if x.isdigit()]
 
     def commit_info(self, version: int) -> dict:
-        """What a published commit says of itself."""
-        return json.loads(self.spark.read.text(f"{self.path}/_commits/{version}").first()[0])
+        """What a published commit says of itself: version, parent, op, token, manifest and touched (file names)."""
+        return json.loads(self._read_text(f"_commits/{version}"))
+
+    def _dirs(self, version: int) -> list[tuple[str, str]]:
+        """Live (partition value, directory below ``data``) of ``version``."""
+        if not version:
+            return []
+        return [tuple(json.loads(x)) for x in self._read_text(f"_manifests/{self.commit_info(version)['manifest']}").splitlines()]
+
+    def _touched(self, version: int) -> set[str | None]:
+        return {json.loads(x) for x in self._read_text(f"_manifests/{self.commit_info(version)['touched']}").splitlines()}
 
     def manifest(self, version: int) -> DataFrame:
-        """Live ``(part, snap)`` pairs of ``version``."""
-        return self.spark.read.parquet(f"{self.path}/_manifests/{self.commit_info(version)['manifest']}")
+        """Live ``(part, dir)`` pairs of ``version``."""
+        return self.spark.createDataFrame(self._dirs(version), f"`{self.part}` string, dir string")
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The records of ``version`` (the newest by default); None when nothing is published."""
+    def read(self, version: int | None = None, parts: set[str] | None = None) -> DataFrame | None:
+        """The records of ``version`` (the newest by default), of the partitions ``parts`` only if given; None when there
+        are none. Only live directories are listed and scanned."""
         version = self.version() if version is None else version
-        if not version:
-            return None
-        info = self.commit_info(version)
-        if not info["rows"]:
-            return None
-        # The manifest is metadata, one row per live directory; the partition columns prune the scan to them.
-        live = broadcast_if_small(self.manifest(version), 100_000)
-        data = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
-        kept = data.withColumn("_p", F.col(self.part).cast("string")).join(live.withColumnRenamed(self.part, "_p"), ["_p", "snap"], "left_semi")
-        return kept.drop("_p", "snap")
+        dirs = [d for p, d in self._dirs(version) if parts is None or p in parts]
+        return self._load(dirs)
 
-    def write(self, rows: DataFrame, base: int, replaced: DataFrame | None, op: str) -> int:
+    def _load(self, dirs: list[str]) -> DataFrame | None:
+        if not dirs:
+            return None
+        base = f"{self.path}/data"
+        scans = []
+        for i in range(0, len(dirs), DIRS_PER_SCAN):
+            paths = [f"{base}/{d}" for d in dirs[i : i + DIRS_PER_SCAN]]
+            scans.append(self.spark.read.option("basePath", base).parquet(*paths).drop("snap"))
+        return reduce(DataFrame.unionByName, scans)
+
+    def write(self, rows: DataFrame, base: int, replaced: DataFrame | set | None, op: str) -> int:
         """Write ``rows`` as new partition versions and publish them.
 
-        ``replaced``: partitions (column ``part`` as string) whose older directories the new ones stand for; None when
-        the rows are added to what is live. Returns the published version.
+        ``replaced``: partitions (a set of their values as strings, or a frame of column ``part``) whose older
+        directories the new ones stand for; None when the rows are added to what is live. Returns the published version.
         """
+        if isinstance(replaced, DataFrame):
+            replaced = {r[0] for r in replaced.select(F.col(self.part).cast("string")).distinct().collect()}  # a row per partition
         token = base + 1
-        while self._exists(f"{self.path}/_claims/{token}") or not self._create(f"{self.path}/_claims/{token}", op):
+        while not self._create(f"_claims/{token}", op):
             token += 1  # another writer holds this directory number, perhaps for ever
         rows = rows.withColumn("snap", F.lit(token))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.part, "snap").parquet(f"{self.path}/data"))
         return self._publish(token, base, replaced, op)
 
-    def _publish(self, token: int, base: int, replaced: DataFrame | None, op: str) -> int:
-        written = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/*/snap={token}") if self._wrote(token) else None
-        fresh = None
-        if written is not None:
-            fresh = written.select(F.col(self.part).cast("string").alias(self.part), "snap").distinct()
+    def _publish(self, token: int, base: int, replaced: set | None, op: str) -> int:
+        fresh = self._written(token)
+        touched = {p for p, _ in fresh} | (replaced or set())
         while True:
             newest = self.version()
-            if replaced is not None and newest > base:
-                changed = None
+            if replaced is not None:
                 for v in range(base + 1, newest + 1):
-                    one = self.spark.read.parquet(f"{self.path}/_touched/{v}")
-                    changed = one if changed is None else changed.unionByName(one)
-                if changed.join(replaced, self.part, "left_semi").limit(1).count():
-                    raise ConflictError(f"{op} from version {base}: its partitions were changed up to version {newest}")
-            live = self.manifest(newest) if newest else None
-            if live is not None and replaced is not None:
-                live = live.join(replaced, self.part, "left_anti")
-            parts = [x for x in (live, fresh) if x is not None]
-            name = f"{newest + 1}-{token}"
-            empty = self.spark.createDataFrame([], f"`{self.part}` string, snap int")
-            full = empty
-            for x in parts:
-                full = full.unionByName(x)
-            full.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_manifests/{name}")
-            touched = fresh.select(self.part) if fresh is not None else empty.select(self.part)
-            touched = touched.unionByName(replaced) if replaced is not None else touched
-            touched.distinct().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_touched/{newest + 1}")
-            info = {"version": newest + 1, "parent": newest, "op": op, "manifest": name, "rows": bool(parts)}
-            if self._create(f"{self.path}/_commits/{newest + 1}", json.dumps(info)):
+                    if self._touched(v) & touched:
+                        raise ConflictError(f"{op} from version {base}: its partitions were changed up to version {newest}")
+            live = [x for x in self._dirs(newest) if replaced is None or x[0] not in replaced]
+            # Names hold the writer's token, so a loser never overwrites what a winner published.
+            name = f"{newest + 1}-{token}-{uuid.uuid4().hex[:8]}"
+            self._write_text(f"_manifests/{name}", "\n".join(json.dumps(x) for x in live + fresh))
+            self._write_text(f"_manifests/{name}.touched", "\n".join(json.dumps(x) for x in sorted(touched, key=str)))
+            info = {"version": newest + 1, "parent": newest, "op": op, "token": token, "manifest": name, "touched": f"{name}.touched"}
+            if self._publish_file(f"_commits/{newest + 1}", json.dumps(info)):
                 return newest + 1
 
-    def _wrote(self, token: int) -> bool:
+    def _written(self, token: int) -> list[tuple[str | None, str]]:
+        """(partition value, directory) of every directory that ``token`` wrote."""
         fs, p = hadoop_path(self.spark, f"{self.path}/data/*/snap={token}")
-        found = fs.globStatus(p)
-        return found is not None and len(found) > 0
+        out = []
+        for x in fs.globStatus(p) or []:
+            name = x.getPath().getParent().getName()
+            value = unquote(name.split("=", 1)[1])
+            out.append((None if value == "__HIVE_DEFAULT_PARTITION__" else value, f"{name}/snap={token}"))
+        return sorted(out, key=str)
+
+    # Small files -----------------------------------------------------------------------------------------------------
+
+    def _list(self, below: str) -> list[str]:
+        fs, p = hadoop_path(self.spark, f"{self.path}/{below}")
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _read_text(self, name: str) -> str:
+        fs, p = hadoop_path(self.spark, f"{self.path}/{name}")
+        stream = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
-    def _exists(self, path: str) -> bool:
-        fs, p = hadoop_path(self.spark, path)
-        return fs.exists(p)
+    def _write_text(self, name: str, text: str) -> None:
+        fs, p = hadoop_path(self.spark, f"{self.path}/{name}")
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
 
-    def _create(self, path: str, text: str) -> bool:
+    def _create(self, name: str, text: str) -> bool:
         """Create a file unless it exists; whether this call made it."""
-        fs, p = hadoop_path(self.spark, path)
+        fs, p = hadoop_path(self.spark, f"{self.path}/{name}")
         try:
             out = fs.create(p, False)
         except Exception:
@@ -122,29 +160,101 @@ class SnapshotStore:
         out.close()
         return True
 
+    def _publish_file(self, name: str, text: str) -> bool:
+        """Put a whole file in place unless one is there: written under another name, then renamed without overwrite, so
+        no reader sees half of it and of two writers one wins."""
+        temp = f"_commits/.{uuid.uuid4().hex}"
+        self._write_text(temp, text)
+        fs, src = hadoop_path(self.spark, f"{self.path}/{temp}")
+        _, dst = hadoop_path(self.spark, f"{self.path}/{name}")
+        try:
+            if fs.getScheme() == "file":  # its rename overwrites; a hard link does not
+                local = lambda p: urlparse(p.toString()).path
+                os.link(local(src), local(dst))
+                return True
+            jvm = self.spark._jvm
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.toUri(), self.spark._jsc.hadoopConfiguration()).rename(src, dst, none)
+            return True
+        except Exception:
+            if fs.exists(dst):
+                return False
+            raise
+        finally:
+            if fs.exists(src):
+                fs.delete(src, False)
+
+    # Upkeep ----------------------------------------------------------------------------------------------------------
+
     def file_stats(self, small_bytes: int, version: int | None = None) -> DataFrame:
-        """Per partition: ``n_files``, ``n_small`` (files under ``small_bytes``), ``n_bytes``."""
+        """Per partition: ``n_files``, ``n_small`` (files under ``small_bytes``), ``n_bytes``, from the listing alone."""
         version = self.version() if version is None else version
-        data = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
-        files = data.select(F.col(self.part).cast("string").alias(self.part), "snap", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")).distinct()
-        files = files.join(self.manifest(version), [self.part, "snap"], "left_semi")
-        return files.groupBy(self.part).agg(
-            F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("size") < small_bytes, 1)).alias("n_small"), F.sum("size").alias("n_bytes")
+        dirs = self._dirs(version)
+        if not dirs:
+            return self.spark.createDataFrame([], f"`{self.part}` string, n_files bigint, n_small bigint, n_bytes bigint")
+        # Only path and length are read, so no file is opened; many directories are listed by a distributed job.
+        files = [
+            self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load([f"{self.path}/data/{d}" for _, d in dirs[i : i + DIRS_PER_SCAN]]).select("path", "length")
+            for i in range(0, len(dirs), DIRS_PER_SCAN)
+        ]
+        listed = reduce(DataFrame.unionByName, files).withColumn("dir", F.regexp_extract("path", r"/([^/]+/snap=\d+)/[^/]+$", 1))
+        # Paths come back percent-encoded or not, depending on the file system: both spellings are known.
+        names = {d: p for p, d in dirs} | {d.replace("%", "%25").replace(" ", "%20"): p for p, d in dirs}
+        known = self.spark.createDataFrame([(d, p) for d, p in names.items()], f"dir string, `{self.part}` string")
+        return (
+            listed.join(known, "dir")
+            .groupBy(self.part)
+            .agg(F.count(F.lit(1)).alias("n_files"), F.count(F.when(F.col("length") < small_bytes, 1)).alias("n_small"), F.sum("length").alias("n_bytes"))
         )
 
-    def compact(self, max_small: int, small_bytes: int, target_bytes: int) -> int:
+    def compact(self, max_small: int, small_bytes: int, target_bytes: int, keys: list[str] | None = None) -> int:
         """Rewrite each partition with more than ``max_small`` files under ``small_bytes`` into files of about
-        ``target_bytes``; leave the others as they are. Returns the version then current."""
+        ``target_bytes`` (measured on the files as they are stored); leave the others as they are. With ``keys`` rows that
+        agree in them become one, which has the smallest of the other columns. Returns the version then current."""
         base = self.version()
-        if not base or self.read(base) is None:
+        todo = self.file_stats(small_bytes, base).where(F.col("n_small") > max_small).select(F.col(self.part), files_for("n_bytes", target_bytes).alias("_n"))
+        plan = {r[0]: r[1] for r in todo.collect()}  # a row per partition, as in the manifest
+        rows = self.read(base, set(plan)) if plan else None
+        if rows is None:
             return base
-        todo = self.file_stats(small_bytes, base).where(F.col("n_small") > max_small)
-        if not todo.limit(1).count():
-            return base
-        rows = self.read(base)
-        key = rows[self.part].cast("string")
-        chosen = rows.withColumn("_p", key).join(todo.select(F.col(self.part).alias("_p"), files_for("n_bytes", target_bytes).alias("_n")), "_p")
-        return self.write(spread(chosen, self.part, F.col("_n")).drop("_p", "_n"), base, todo.select(self.part), "compact")
+        # The plan is as long as the manifest; partitions of one file are left out of the lookup.
+        salted = {p: n for p, n in plan.items() if n > 1}
+        n_files = F.lit(1)
+        if salted:
+            table = self.spark.createDataFrame([*salted.items()], "_p string, _n int")
+            rows = rows.withColumn("_p", F.col(self.part).cast("string")).join(table, "_p", "left")
+            n_files = F.coalesce("_n", F.lit(1))
+        columns = [c for c in rows.columns if c not in ("_p", "_n")]
+        packed = spread(rows, self.part, n_files, keys or columns, keep=True)
+        if keys:
+            rest = [c for c in columns if c not in keys and c != self.part]
+            packed = packed.groupBy(self.part, "_salt", *keys).agg(*[F.min(c).alias(c) for c in rest])
+        return self.write(packed.select(columns), base, set(plan), "compact")
+
+    def expire(self, keep_versions: int = 1, grace_s: float = 24 * 3600) -> int:
+        """Delete what only versions older than the newest ``keep_versions`` use: their commits and manifests, and data
+        directories no kept version names. Directories of writers that have not published are kept until their claim is
+        ``grace_s`` seconds old. Returns how many data directories were deleted."""
+        versions = sorted(self._versions())
+        kept, old = versions[-keep_versions:], versions[:-keep_versions]
+        if not kept:
+            return 0
+        live = {d for v in kept for _, d in self._dirs(v)}
+        infos = {v: self.commit_info(v) for v in versions}
+        published = {i["token"] for i in infos.values()}
+        fs, claims = hadoop_path(self.spark, f"{self.path}/_claims")
+        now = time.time() * 1000
+        open_claims = {int(x.getPath().getName()) for x in fs.listStatus(claims) if x.getPath().getName().isdigit() and now - x.getModificationTime() < grace_s * 1000} - published
+        _, every = hadoop_path(self.spark, f"{self.path}/data/*/snap=*")
+        n = 0
+        for x in fs.globStatus(every) or []:
+            p = x.getPath()
+            if f"{p.getParent().getName()}/{p.getName()}" not in live and int(p.getName().split("=")[1]) not in open_claims:
+                n += bool(fs.delete(p, True))
+        for v in old:
+            for name in (f"_commits/{v}", f"_manifests/{infos[v]['manifest']}", f"_manifests/{infos[v]['touched']}"):
+                fs.delete(hadoop_path(self.spark, f"{self.path}/{name}")[1], False)
+        return n
 
 
 def files_for(n_bytes: str, target_bytes: int) -> Column:
@@ -152,65 +262,65 @@ def files_for(n_bytes: str, target_bytes: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(n_bytes) / F.lit(target_bytes))).cast("int")
 
 
-def spread(rows: DataFrame, part: str, n_files: Column) -> DataFrame:
-    """Shuffle so that each partition's rows meet in ``n_files`` tasks: a large partition is salted, a small one whole."""
-    row_hash = F.xxhash64(*[c for c in rows.columns])
-    return rows.withColumn("_salt", F.pmod(row_hash, n_files)).repartition(F.col(part), F.col("_salt")).drop("_salt")
+def spread(rows: DataFrame, part: str, n_files: Column, by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """Shuffle so that each partition's rows meet in ``n_files`` tasks: a large partition is salted, a small one whole.
+    Rows that agree in ``by`` (all columns by default) meet; ``keep`` leaves the salt as ``_salt``."""
+    row_hash = F.xxhash64(*(by or rows.columns))
+    salted = rows.withColumn("_salt", F.pmod(row_hash, n_files)).repartition(F.col(part), F.col("_salt"))
+    return salted if keep else salted.drop("_salt")
 
 
 #: Prefix of the partition directories' values: keeps them strings and non-empty whatever the folder is called.
 SLOT = "f"
-RECORD_SCHEMA = "cache_folder string, n_out int, kind string, elem_id bigint, rev int, body string"
+RECORD_SCHEMA = "cache_folder string, kind string, elem_id bigint, rev int, body string"
 KEY = ["cache_folder", "kind", "elem_id", "rev"]
 
 
 def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Element records of files given as (cache_folder, n_out, content): each line that is one whole JSON object by
-    itself, with ``kind`` 'n' or 'w' and whole-number ``id`` and ``rev`` (digits in quotes count). Other lines are
-    skipped."""
-    from json import loads
+    """Element records of files given as (cache_folder, content): each line that is one whole JSON object by itself, with
+    ``kind`` 'n' or 'w' and whole-number ``id`` and ``rev`` (the digits 0 to 9 in quotes count). Other lines are skipped,
+    also those with the bare words NaN and Infinity, which JSON does not know, and numbers too long for their type."""
+    from json import JSONDecoder
+    from re import compile as regex
+
+    def refuse(name: str) -> float:
+        raise ValueError(name)
+
+    def bounded(digits: str) -> int | None:
+        return int(digits) if len(digits) < 40 else None  # far beyond 64 bits, whatever the field
+
+    digits = regex(r"-?[0-9]{1,30}")
+    read = JSONDecoder(parse_constant=refuse).decode
+    read_long = JSONDecoder(parse_constant=refuse, parse_int=bounded).decode
 
     def whole(x: object) -> int | None:
         if isinstance(x, bool):
             return None
         if isinstance(x, int):
             return x
-        if isinstance(x, str) and x.strip().removeprefix("-").isdecimal():
+        if isinstance(x, str) and digits.fullmatch(x.strip()):
             return int(x)
         return None
 
     for batch in batches:
         out: list[tuple] = []
-        for folder, n_out, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for folder, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             for line in (content or "").split("\n"):
                 line = line.strip(" \t\r")
                 if len(line) < 2 or line[0] != "{" or line[-1] != "}":
                     continue
                 try:
-                    o = loads(line)
+                    o = (read if len(line) < 4000 else read_long)(line)
                 except (ValueError, RecursionError):
                     continue
                 kind, ident, rev = o.get("kind"), whole(o.get("id")), whole(o.get("rev"))
                 if kind in ("n", "w") and ident is not None and rev is not None and -(2**63) <= ident < 2**63 and -(2**31) <= rev < 2**31:
-                    out.append((folder, n_out, kind, ident, rev, line))
-        types = [("cache_folder", pa.string()), ("n_out", pa.int32()), ("kind", pa.string()), ("elem_id", pa.int64()), ("rev", pa.int32()), ("body", pa.string())]
+                    out.append((folder, kind, ident, rev, line))
+        types = [("cache_folder", pa.string()), ("kind", pa.string()), ("elem_id", pa.int64()), ("rev", pa.int32()), ("body", pa.string())]
         columns = list(zip(*out, strict=True)) if out else [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, types, strict=True)], names=[n for n, _ in types])
 
 
-def distinct_records(files: DataFrame) -> DataFrame:
-    """One row per (cache_folder, kind, elem_id, rev) that stands complete in any file; ``body`` is its smallest line.
-
-    ``files``: ``cache_folder``, ``content`` and, where given, ``n_out``, which is handed on. Null or empty content and
-    null folders give nothing. The shuffle is by the whole record key, so a folder that holds most files is spread over
-    all tasks.
-    """
-    if "n_out" not in files.columns:
-        files = files.withColumn("n_out", F.lit(1))
-    lines = files.where("cache_folder is not null").select("cache_folder", "n_out", "content").mapInArrow(parse_records, RECORD_SCHEMA)
-    return lines.groupBy(*KEY).agg(F.min("body").alias("body"), F.max("n_out").alias("n_out"))
-
-
 def folder_stats(files: DataFrame, small_bytes: int) -> DataFrame:
     """Per folder: how many files, how many of them under ``small_bytes``, and their bytes (of the text as stored)."""
     size = F.coalesce(F.octet_length("content"), F.lit(0))
@@ -221,23 +331,40 @@ def folder_stats(files: DataFrame, small_bytes: int) -> DataFrame:
     )
 
 
-def compact_folders(files: DataFrame, work: Workspace, max_small: int = 16, small_bytes: int = 1 << 20, target_bytes: int = 128 << 20) -> DataFrame:
-    """Consolidate the files below each folder; returns the records of all folders (``KEY`` and ``body``).
+def load_folders(files: DataFrame, store: SnapshotStore, batches: int = 2) -> None:
+    """Append the records of all files to ``store``, a partition per folder, in ``batches`` commits.
 
-    Folders with more than ``max_small`` files under ``small_bytes`` are rewritten into a ``SnapshotStore`` (files of
-    about ``target_bytes``, every readable record once) and read from its published snapshot; the records of the other
-    folders are read from their files, which stay as they are. Extra columns are ignored; empty input gives no rows.
+    Each commit takes the files of one hash class of (folder, content), so a job that fails between two loses none of
+    the earlier ones. Tasks write what they have read without a shuffle, so the partitions consist of small files, as
+    the folders do. Files with null folder or content give nothing.
     """
-    files = files.select("cache_folder", "content")
-    store = SnapshotStore(work.spark, f"{work.path}/store", "slot")
-    base = store.version()
-    stats = folder_stats(files, small_bytes)
-    todo = work.cut(stats.where(F.col("n_small") > max_small).select("cache_folder", files_for("n_bytes", target_bytes).alias("n_out")), "todo")
-    # One row per folder of the plan; the files of a folder that holds most of them aren't shuffled by folder.
-    planned = skew_join(files, todo, "cache_folder", "left")
     slot = F.concat(F.lit(SLOT), F.col("cache_folder"))
-    chosen = distinct_records(planned.where("n_out is not null")).withColumn("slot", slot)
-    store.write(spread(chosen, "slot", F.col("n_out")).drop("n_out"), base, todo.select(slot.alias("slot")), "compact")
-    left = distinct_records(planned.where("n_out is null")).select(*KEY, "body")
-    done = store.read()
-    return left if done is None else left.unionByName(done.select(*KEY, "body"))
+    known = files.where("cache_folder is not null and content is not null").select("cache_folder", "content")
+    for k in range(batches):
+        part = known.where(F.pmod(F.xxhash64("cache_folder", "content"), F.lit(batches)) == k)
+        store.write(part.mapInArrow(parse_records, RECORD_SCHEMA).withColumn("slot", slot), store.version(), None, f"load {k + 1} of {batches}")
+
+
+def compact_folders(files: DataFrame, work: Workspace, max_small: int = 1, small_bytes: int = 32 << 20, target_bytes: int = 128 << 20, path: str | None = None) -> DataFrame:
+    """Consolidate the files below each folder; returns the records of all folders (``KEY`` and ``body``), each once.
+
+    The files are loaded into a ``SnapshotStore`` at ``path`` (by default in the workspace, which ends with the session) by
+    several commits; then the partitions with more than ``max_small`` files under ``small_bytes`` are rewritten into files
+    of about ``target_bytes`` that hold every readable record once, and the files this makes superfluous are deleted.
+    The result is read from the published version. ``body`` is the smallest of a record's lines. Extra columns are
+    ignored; empty input gives no rows.
+    """
+    store = SnapshotStore(work.spark, path or f"{work.path}/store", "slot")
+    load_folders(files, store)
+    before = store.version()
+    compacted = store.compact(max_small, small_bytes, target_bytes, KEY)
+    # What compaction has written is distinct already; partitions it has left alone may hold a record in several files.
+    done = store._touched(compacted) if compacted > before else set()
+    store.expire(1)
+    rest = {p for p, _ in store._dirs(compacted)} - done
+    found = [store.read(compacted, done)] if done else []
+    if rest:
+        left = store.read(compacted, rest)
+        found.append(left.groupBy(*KEY).agg(F.min("body").alias("body")))
+    found = [x.select(*KEY, "body") for x in found if x is not None]
+    return reduce(DataFrame.unionByName, found) if found else work.spark.createDataFrame([], RECORD_SCHEMA)

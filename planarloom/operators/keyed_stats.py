@@ -31,29 +31,30 @@ def tile_summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Per non-null tile: rows, distinct vertices, located vertices, bounding box, sum and maximum of degrees.
 
     A vertex's degree is the number of distinct edges with it at an end (a loop counts once). Repeated vertex rows count
-    once except in ``n_rows``; vertices without location count but add nothing to the box (null when none is located).
+    once except in ``n_rows``; of several locations of one vertex in a tile the greatest (lon, lat) counts. Vertices
+    without a whole location count but add nothing to the box (null when none is located).
     Edges whose end is no vertex add nothing. Degrees reduce per vertex before they reach the vertices, so a star's
     centre arrives as one row.
     """
     ends = edges.select("e", F.explode(F.array_distinct(F.array("v1", "v2"))).alias("v")).where(F.col("v").isNotNull() & F.col("e").isNotNull())
     degree = ends.distinct().groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
+    located = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     own = (
         vertices.where(F.col("tile").isNotNull() & F.col("v").isNotNull())
         .groupBy("tile", "v")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.max("lon").alias("lon"), F.max("lat").alias("lat"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.when(located, F.struct("lon", "lat"))).alias("at"))
     )
-    located = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     return (
         own.join(degree, "v", "left")
         .groupBy("tile")
         .agg(
             F.sum("n_rows").alias("n_rows"),
             F.count(F.lit(1)).alias("n_vertices"),
-            F.count(F.when(located, 1)).alias("n_located"),
-            F.min("lon").alias("box_left"),
-            F.max("lat").alias("box_top"),
-            F.max("lon").alias("box_right"),
-            F.min("lat").alias("box_bottom"),
+            F.count("at").alias("n_located"),
+            F.min("at.lon").alias("box_left"),
+            F.max("at.lat").alias("box_top"),
+            F.max("at.lon").alias("box_right"),
+            F.min("at.lat").alias("box_bottom"),
             F.sum(F.coalesce("degree", F.lit(0))).alias("degree_sum"),
             F.max(F.coalesce("degree", F.lit(0))).alias("degree_max"),
         )

@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which one task takes a whole side without harm; joins on fewer rows skip the hot-key pass.
-HOT_MIN_ROWS = 400_000
-#: A key is hot when it holds more than one in HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
+#: A key is hot when it holds more than one in HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys ...
 HOT_SHARE = 1000
+#: ... and more than HOT_FLOOR of them; fewer rows of one key weigh on no task.
+HOT_FLOOR = 2_000
+
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if set, else (local masters only) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, local masters get one folder for the
+    process, deleted at its end; other masters are refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="planarloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="planarloom-"))
+        atexit.register(shutil.rmtree, _made[0], True)
+    return _made[0]
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -73,14 +78,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Equi-join of ``left`` to ``right``, whose ``key`` is unique, without sending a hot key's rows to one task.
 
-    Keys that hold more than 1/``HOT_SHARE`` of ``left`` (at most ``HOT_SHARE`` of them, so the set is bounded) join by
-    broadcast of just their rows of ``right``; all other rows shuffle. ``left`` is read twice and should be a written
-    table. Below ``HOT_MIN_ROWS`` rows no task can be overloaded and the plain join is used. ``how``: inner or left.
+    Keys that hold more than 1/``HOT_SHARE`` of ``left`` and more than ``HOT_FLOOR`` rows (at most ``HOT_SHARE`` keys, so
+    the set is bounded) join by broadcast of just their rows of ``right``; all other rows shuffle. The keys are counted
+    at every size. ``left`` is read twice and should be a written table. ``how``: inner or left.
     """
     n = left.count() if rows is None else rows
-    if n <= HOT_MIN_ROWS:
-        return left.join(right, key, how)
-    hot = [r[0] for r in left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > n // HOT_SHARE).select(key).collect()]
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
+    hot = [r[0] for r in counts.where(F.col("count") > max(n // HOT_SHARE, HOT_FLOOR)).select(key).collect()]
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

@@ -71,3 +71,55 @@ def test_large_partition_is_spread(spark):
         assert C.spread(df, "part", F.lit(4)).groupBy(F.spark_partition_id()).count().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_strict_json_and_long_digits(spark):
+    lines = ['{"kind":"n","id":1,"rev":1,"lon":NaN}', '{"kind":"n","id":2,"rev":1,}', '{"kind":"n","id":"' + "9" * 5000 + '","rev":1}', '{"kind":"n","id":4,"rev":1,"lon":' + "9" * 5000 + "}"]
+    lines += ['{"kind":"n","id":"١","rev":1}', '{"kind":"n","id":6,"rev":' + "9" * 5000 + "}", '{"kind":"n","id":"-7","rev":"1"}']
+    df = spark.createDataFrame([(1, "a b%c", "\n".join(lines), "x")], FILES)
+    assert rows(C.compact_folders(df, Workspace(spark, "t"))) == [("a b%c", "n", -7, 1), ("a b%c", "n", 4, 1)]
+
+
+def test_a_loser_leaves_the_winners_commit_alone(spark):
+    store = C.SnapshotStore(spark, Workspace(spark, "s").path, "part")
+    make = lambda p, x: spark.createDataFrame([(p, x)], "part string, x int")
+    base = store.write(make("a", 1), 0, None, "add")
+    other = C.SnapshotStore(spark, store.path, "part")
+    publish = store._publish_file
+    won = []
+
+    def late(name, text):  # another writer commits between this one's manifest and its commit file
+        if not won:
+            won.append(other.write(make("a", 2), base, {"a"}, "winner"))
+        return publish(name, text)
+
+    store._publish_file = late
+    with pytest.raises(C.ConflictError):
+        store.write(make("a", 3), base, {"a"}, "loser")
+    store._publish_file = publish
+    with pytest.raises(C.ConflictError):
+        other.write(make("a", 4), base, {"a"}, "third")
+    assert [(r["part"], r["x"]) for r in store.read().collect()] == [("a", 2)]
+
+
+def test_expire_deletes_what_no_kept_version_needs(spark):
+    store = C.SnapshotStore(spark, Workspace(spark, "s").path, "part")
+    for i in range(4):
+        store.write(spark.createDataFrame([("a", i), ("b c%d", i)], "part string, x int").coalesce(1), store.version(), None, "add")
+    files = lambda: len(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{store.path}/data").select("path").collect())
+    assert files() == 8
+    store.compact(1, 1 << 20, 1 << 30)
+    assert files() == 10
+    assert store.expire(1) == 8 and files() == 2
+    assert sorted((r["part"], r["x"]) for r in store.read().collect()) == sorted([(p, i) for i in range(4) for p in ("a", "b c%d")])
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("snap=") <= 2 or "snap=5" in plan
+
+
+def test_folders_are_kept_at_a_given_path(spark, tmp_path):
+    line = '{{"kind":"n","id":{},"rev":1}}\n'
+    df = spark.createDataFrame([(i, "a", line.format(i % 5), "") for i in range(20)], FILES).repartition(4)
+    C.compact_folders(df, Workspace(spark, "t"), path=str(tmp_path / "kept"))
+    store = C.SnapshotStore(spark, str(tmp_path / "kept"), "slot")
+    assert sorted(r["elem_id"] for r in store.read().collect()) == [0, 1, 2, 3, 4]
+    assert store.file_stats(1 << 20).collect()[0]["n_files"] == 1
