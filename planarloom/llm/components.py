@@ -5,7 +5,7 @@ Deterministic Boruvka hooking. Each round every component selects its smallest o
 trees whose only cycles are the two ends of one edge, of which the smaller becomes the root. The trees collapse by
 pointer doubling, edges are relabelled, and loops and copies dropped, until no edge is left. Every round at least halves
 the components that still have edges. The smallest label of a component always stays a root, so it is the group's
-identifier. Each step is a written table in the shared folder.
+identifier. Each step is a written table in the shared folder; what no later step reads is deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planarloom.runtime import HOT_MIN_ROWS, Workspace, skew_join
+from planarloom.runtime import Workspace, skew_join
 
 MAX_ROUNDS = 64
 
@@ -27,11 +27,9 @@ def linked_groups(matches: DataFrame, faces: DataFrame, work: Workspace) -> Data
     known = work.cut(faces.select("face").where("face is not null").distinct(), "faces")
     links = work.cut(matches.where("is_match and face_a <> face_b").select("face_a", "face_b").distinct(), "links")
     n = links.count()
-    for side in ("face_a", "face_b"):
-        links = skew_join(links, known.withColumnRenamed("face", side), side, "inner", n)
-        if side == "face_a" and n > HOT_MIN_ROWS:
-            links = work.cut(links, "half-links")
-    return connected_components(links, "face_a", "face_b", work).withColumnRenamed("node", "face")
+    half = work.cut(skew_join(links, known.withColumnRenamed("face", "face_a"), "face_a", "inner", n), "half-links")
+    whole = skew_join(half, known.withColumnRenamed("face", "face_b"), "face_b", "inner", n)
+    return connected_components(whole, "face_a", "face_b", work).withColumnRenamed("node", "face")
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, work: Workspace) -> DataFrame:
@@ -50,7 +48,7 @@ def connected_components(pairs: DataFrame, a: str, b: str, work: Workspace) -> D
         n += 1
         if n > MAX_ROUNDS:
             raise RuntimeError("the components did not collapse")
-        hook = _collapse(edges, n, work)
+        hook, hook_name = _collapse(edges, n, work)
         if labels is None:
             labels = hook.select(F.col("c").alias("node"), F.col("p").alias("label"))
         else:
@@ -59,20 +57,19 @@ def connected_components(pairs: DataFrame, a: str, b: str, work: Workspace) -> D
         labels = work.cut(labels, f"labels{n}")
         n_labels = n_labels or labels.count()
         half = skew_join(edges, hook.select(F.col("c").alias("x"), F.col("p").alias("px")), "x", "inner", n_edges).select("px", "y")
-        if n_edges > 400_000:
-            half = work.cut(half, f"half{n}")
+        half = work.cut(half, f"half{n}")
         both = skew_join(half, hook.select(F.col("c").alias("y"), F.col("p").alias("py")), "y", "inner", n_edges)
         both = both.where("px <> py").select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y"))
         edges = work.cut(both.distinct(), f"edges{n}")
         n_edges = edges.count()
-        work.drop(f"edges{n - 1}", f"half{n}", *([f"labels{n - 1}"] if n > 1 else []), f"hook{n}")
+        work.drop(f"edges{n - 1}", f"half{n}", hook_name, *([f"labels{n - 1}"] if n > 1 else []))
     if labels is None:
         return spark.createDataFrame([], "node bigint, group_id bigint")
     return labels.select("node", F.col("label").alias("group_id"))
 
 
-def _collapse(edges: DataFrame, n: int, work: Workspace) -> DataFrame:
-    """``c``, ``p``: each component with an edge and the root of the tree it hooks into."""
+def _collapse(edges: DataFrame, n: int, work: Workspace) -> tuple[DataFrame, str]:
+    """``c``, ``p``: each component with an edge and the root of the tree it hooks into; and the table's name."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("d")), F.struct(F.col("y").alias("c"), F.col("x").alias("d")))).alias("e"))
     hook = work.cut(ends.groupBy("e.c").agg(F.min("e.d").alias("p")), f"hook{n}-0")
     rows = hook.count()
@@ -87,9 +84,9 @@ def _collapse(edges: DataFrame, n: int, work: Workspace) -> DataFrame:
         else:
             moved = moved.select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
         moved = work.cut(moved, f"hook{n}-{k}")
-        work.drop(f"hook{n}-{k - 2}")
+        work.drop(f"hook{n}-{k - 1}")
         hook = moved.select("c", "p")
         if not moved.where("moved").limit(1).count():
-            return hook
+            return hook, f"hook{n}-{k}"
         if k > MAX_ROUNDS:
             raise RuntimeError("the trees did not collapse")

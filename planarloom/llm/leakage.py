@@ -4,13 +4,15 @@ Of every run of ``WINDOW`` consecutive hashes of ``GRAM`` words the smallest is
 alike, so two texts that share GRAM + WINDOW - 1 = 7 words in a row share a fingerprint. A passage of 30 words with 3
 edits has 7 such words: 27 kept words lie in 4 runs. Longer passages that qualify hold a qualifying one of under 60 words,
 which has such a run too. From each shared fingerprint the match is extended both ways as far as 0 to 5 edits reach, so
-what is reported is decided by the words and not by hashes. The items are few whatever the documents are; their
-fingerprints are held by every task, and documents are not shuffled.
+what is reported is decided by the words and not by hashes. The items are the query set: blocks of them of bounded size,
+one after the other, are joined by fingerprint to all documents in a lookup that every task holds, so documents are not
+shuffled and no fingerprint, however frequent, is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from planarloom.llm.tokens import WORD
 
 GRAM, WINDOW = 5, 3
 LEAST, PER_EDIT, MOST_EDITS = 30, 10, 5
+#: Words of the items whose fingerprints one pass over the documents holds: at most some 100 MB in a task.
+BLOCK_WORDS = 1_000_000
 
 
 def words(text: str) -> list[str]:
@@ -88,13 +92,35 @@ def leaks(item: np.ndarray, doc: np.ndarray, p: int, q: int) -> bool:
     return any(x + y >= max(LEAST, PER_EDIT * (i + j)) for i, x in enumerate(left) for j, y in enumerate(right) if i + j <= MOST_EDITS)
 
 
-def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
+def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``block_words`` words, or of one item; they arrive one at a time."""
+    block, n = [], 0
+    for ident, text in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator():
+        own = len(words(text))
+        if block and n + own > block_words:
+            yield block
+            block, n = [], 0
+        block.append((ident, text))
+        n += own
+    if block:
+        yield block
+
+
+def leaked(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id``, ``item_id`` of every document that repeats at least ``LEAST`` consecutive words of the item, of which up
-    to one in ``PER_EDIT`` is replaced, dropped or added. Each pair once; ``items`` is a small fixed table."""
+    to one in ``PER_EDIT`` is replaced, dropped or added. Each pair once. Null ids and texts are left out; items of fewer
+    words and empty texts give no rows; copies of a document count by themselves."""
+    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    found = [texts.mapInPandas(_finder(block), "doc_id bigint, item_id bigint") for block in item_blocks(items, block_words)]
+    if not found:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _finder(block: list[tuple[int, str]]):
+    """The function that finds the items of ``block`` in batches of documents."""
     vocab: dict[str, int] = {}
-    known: list[tuple[int, np.ndarray]] = []
-    for ident, text in items.where("item_id is not null and text is not null").select("item_id", "text").collect():
-        known.append((ident, np.array([vocab.setdefault(w, len(vocab) + 1) for w in words(text)], np.int64)))
+    known = [(ident, np.array([vocab.setdefault(w, len(vocab) + 1) for w in words(text)], np.int64)) for ident, text in block]
     places: dict[int, list[tuple[int, int]]] = {}
     for k, (_, ids) in enumerate(known):
         for at, h in zip(*fingerprints(ids), strict=True):
@@ -119,4 +145,4 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
             rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i in sorted(of_text(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(find, "doc_id bigint, item_id bigint").distinct()
+    return find

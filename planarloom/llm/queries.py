@@ -9,7 +9,7 @@ from planarloom.llm.components import linked_groups
 from planarloom.llm.leakage import leaked
 from planarloom.llm.packing import pack
 from planarloom.llm.splitting import long_texts, pieces
-from planarloom.llm.term_stats import TermStats, tag_changes, type_changes
+from planarloom.llm.term_stats import TermStats, by_arrival, tag_changes, type_changes
 from planarloom.runtime import Workspace
 from planarloom.sources.tables import table
 
@@ -17,7 +17,9 @@ from planarloom.sources.tables import table
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of ``way.tags`` and ``landuse.type`` in fewer than 3 records, or in more than 10 % of them."""
     stats = TermStats(Workspace(spark, "p1"))
-    stats.apply(tag_changes(table(spark, sf_dir, "way")).unionByName(type_changes(table(spark, sf_dir, "landuse"))))
+    changes = tag_changes(table(spark, sf_dir, "way")).unionByName(type_changes(table(spark, sf_dir, "landuse")))
+    for batch in by_arrival(changes):
+        stats.apply(batch)
     return stats.marked(3, 0.1).where("mark is not null").select("field", "term", "mark")
 
 
@@ -29,7 +31,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value that is not in the reference list to the letter, with the entry it means, 0 if none."""
     values = typed_values(table(spark, sf_dir, "way"), table(spark, sf_dir, "landuse"))
-    return map_values(values, table(spark, sf_dir, "canon_value")).select("origin", "way_id", "k", "canon_id").distinct()
+    return map_values(values, table(spark, sf_dir, "canon_value"), Workspace(spark, "p6")).select("origin", "way_id", "k", "canon_id").distinct()
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of at most 1,024 tokens of these texts."""
-    return pieces(table(spark, sf_dir, "documents"))
+    return pieces(table(spark, sf_dir, "documents")).drop("long_lines")
 
 
 QUERIES = {
