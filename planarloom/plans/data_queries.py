@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planarloom.operators import compaction, keyed_stats, proximity
+from planarloom.plans import registry
 from planarloom.runtime import Workspace
 from planarloom.sources.tables import table
 
@@ -79,3 +80,6 @@ ORACLE = {
           HAVING count(*) FILTER ((a.lat > lat) <> (z.lat > lat) AND lon < (z.lon - a.lon) * (lat - a.lat) / (z.lat - a.lat) + a.lon) % 2 = 1)
         SELECT 'near' AS kind, id_a, id_b FROM near UNION ALL SELECT 'inside', id_a, id_b FROM inside""",
 }
+
+registry.QUERIES.update(QUERIES)
+registry.ORACLE.update(ORACLE)

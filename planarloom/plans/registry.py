@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from planarloom.plans import data_queries
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
 
-QUERIES = {**data_queries.QUERIES}
-ORACLE = {**data_queries.ORACLE}
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL if it has any."""
 
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-tile summary of the vertices."""
-    return data_queries.p3_tile_summary(spark, sf_dir)
+    return add
