@@ -27,13 +27,14 @@ def half_edges(edges: DataFrame) -> DataFrame:
     return edges.where("v1 <> v2").select("e", F.explode(F.array(one, two)).alias("x")).select("x.h", "e", "x.v_from", "x.v_to", "x.azimuth")
 
 
-def turn(half: DataFrame, right: bool = True) -> DataFrame:
+def turn(half: DataFrame, right: bool = True, back: bool = False) -> DataFrame:
     """``h``, ``nx``: the half-edge that follows each arriving one by the sharpest turn to the right (or left); null at a
-    vertex of one edge. Equal directions are ordered by ``h``. A vertex's half-edges are sorted in one window, which spills."""
+    vertex of one edge, or with ``back`` the way back. Equal directions are ordered by ``h``. A vertex's half-edges are sorted in one window, which spills."""
     around = Window.partitionBy("v_from").orderBy("azimuth", "h")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     step = F.coalesce(F.lead("h").over(around), F.first("h").over(whole)) if right else F.coalesce(F.lag("h").over(around), F.last("h").over(whole))
-    return half.select(F.col("h").bitwiseXOR(F.lit(1)).alias("h"), step.alias("_n"), F.col("h").alias("_own")).select("h", F.when(F.col("_n") != F.col("_own"), F.col("_n")).alias("nx"))
+    turned = half.select(F.col("h").bitwiseXOR(F.lit(1)).alias("h"), step.alias("nx"), F.col("h").alias("_own"))
+    return turned.select("h", "nx") if back else turned.select("h", F.when(F.col("nx") != F.col("_own"), F.col("nx")).alias("nx"))
 
 
 def clockwise_order(half: DataFrame) -> DataFrame:
@@ -43,9 +44,10 @@ def clockwise_order(half: DataFrame) -> DataFrame:
     return half.select("h", F.col("v_from").alias("v"), F.row_number().over(around).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("v_from")).alias("degree"))
 
 
-def loops(half: DataFrame, work: Workspace, label: str = "loops") -> DataFrame:
-    """``h``, ``loop``: the cycle each half-edge lies on, named by its smallest; null when the way leads to a dead end."""
-    steps = work.cut(turn(half).select(F.col("h").alias("id"), "nx"), f"{label}-turns")
+def loops(half: DataFrame, work: Workspace, label: str = "loops", back: bool = False) -> DataFrame:
+    """``h``, ``loop``: the cycle each half-edge lies on, named by its smallest; null when the way leads to a dead end, unless
+    ``back`` turns round there."""
+    steps = work.cut(turn(half, back=back).select(F.col("h").alias("id"), "nx"), f"{label}-turns")
     ways = graph.follow(steps, work, label)
     return ways.select(F.col("id").alias("h"), F.when(F.col("last").isNull(), F.col("least")).alias("loop"))
 
@@ -57,19 +59,19 @@ def assign_faces(edges: DataFrame, work: Workspace) -> DataFrame:
     formed anew until there are none, so every face is a closed way that passes no edge twice. The loop round the outside
     of a component is a face as well.
     """
-    half = work.cut(half_edges(edges), "halves")
-    n, k = half.count(), 0
+    half, seen = work.cut_counting(half_edges(edges), "halves", n=F.lit(True))
+    n, k = seen["n"], 0
     while True:
         k += 1
-        found = work.cut(loops(half, work, f"loops{k}-"), f"faces{k}")
+        found = work.cut(loops(half, work, f"loops{k}-", back=True), f"faces{k}")
         sides = found.withColumn("e", F.shiftright("h", 1)).groupBy("e").agg(F.count("loop").alias("n"), F.min("loop").alias("a"), F.max("loop").alias("b"))
         good = sides.where("n = 2 and a <> b").select("e")
-        kept = work.cut(half.join(good, "e", "left_semi").select(half.columns), f"halves{k}")
-        m = kept.count()
+        kept, seen = work.cut_counting(half.join(good, "e", "left_semi").select(half.columns), f"halves{k}", n=F.lit(True))
+        m = seen["n"]
         if m == n:
             break
         half, n = kept, m
-    return half.join(turn(half), "h").join(found.select("h", F.col("loop").alias("face")), "h").select("h", "e", "v_from", "v_to", "nx", "face")
+    return half.join(turn(half, back=True), "h").join(found.select("h", F.col("loop").alias("face")), "h").select("h", "e", "v_from", "v_to", "nx", "face")
 
 
 def rings(assigned: DataFrame, edges: DataFrame, work: Workspace) -> DataFrame:

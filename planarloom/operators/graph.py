@@ -171,8 +171,8 @@ def prune_dead_ends(edges: DataFrame, work: Workspace) -> DataFrame:
     """The edges left when edges at a vertex of degree 1 are removed again and again. Loops stay, and so do edges whose
     column ``keep``, if there is one, is true. One round per edge of the longest dead end."""
     cols = [c for c in edges.columns if c in ("e", "v1", "v2", "keep")]
-    left = work.cut(edges.select(*cols), "prune0")
-    n, k = left.count(), 0
+    left, seen = work.cut_counting(edges.select(*cols), "prune0", n=F.lit(True))
+    n, k = seen["n"], 0
     kept = F.col("keep") if "keep" in cols else F.lit(False)
     while n:
         k += 1
@@ -180,9 +180,9 @@ def prune_dead_ends(edges: DataFrame, work: Workspace) -> DataFrame:
         # Vertices of degree 1 have one edge each, so neither join has a hot key.
         dead = left.join(deg.withColumnRenamed("v", "v1"), "v1", "left_semi").select("e").unionByName(left.join(deg.withColumnRenamed("v", "v2"), "v2", "left_semi").select("e"))
         gone = left.where((F.col("v1") != F.col("v2")) & ~F.coalesce(kept, F.lit(False))).select("e").join(dead.distinct(), "e", "left_semi")
-        left = work.cut(left.join(gone, "e", "left_anti").select(*cols), f"prune{k}")
+        left, seen = work.cut_counting(left.join(gone, "e", "left_anti").select(*cols), f"prune{k}", n=F.lit(True))
         work.drop(f"prune{k - 1}")
-        m = left.count()
+        m = seen["n"]
         if m == n:
             break
         n = m
@@ -202,9 +202,9 @@ def follow(steps: DataFrame, work: Workspace, label: str) -> DataFrame:
         ahead = state.select(F.col("id").alias("nx"), F.col("nx").alias("_nx"), F.col("least").alias("_least"), F.col("last").alias("_last"), F.col("dist").alias("_dist"))
         moved = state.where("nx is not null").join(ahead, "nx", "left")
         moved = moved.select("id", F.col("_nx").alias("nx"), F.least("least", "_least").alias("least"), F.col("_last").alias("last"), (F.col("dist") + F.col("_dist")).alias("dist"), (F.col("_nx").isNull() | (F.col("_least") < F.col("least"))).alias("moved"))
-        state = work.cut(moved.unionByName(state.where("nx is null").withColumn("moved", F.lit(False))), f"{label}{k}")
+        state, seen = work.cut_counting(moved.unionByName(state.where("nx is null").withColumn("moved", F.lit(False))), f"{label}{k}", moved=F.col("moved"))
         work.drop(f"{label}{k - 1}")
-        if not state.where("moved").limit(1).count():
+        if not seen["moved"]:
             break
     else:
         raise RuntimeError("the ways do not end")

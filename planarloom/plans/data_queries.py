@@ -58,10 +58,10 @@ ORACLE = {
     "p3_tile_summary": """
         WITH ends AS (SELECT DISTINCT e, v FROM (SELECT e, v1 AS v FROM edge UNION ALL SELECT e, v2 FROM edge) WHERE e IS NOT NULL AND v IS NOT NULL),
         degree AS (SELECT v, count(*) AS degree FROM ends GROUP BY v),
-        own AS (SELECT tile, v, count(*) AS n_rows, max({'lon': lon, 'lat': lat}) FILTER (lon IS NOT NULL AND lat IS NOT NULL) AS at
+        own AS (SELECT tile, v, count(*) AS n_rows, max({'lon': lon, 'lat': lat}) FILTER (lon IS NOT NULL AND lat IS NOT NULL) AS loc
           FROM vertex WHERE tile IS NOT NULL AND v IS NOT NULL GROUP BY tile, v)
-        SELECT tile, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS n_vertices, count(at) AS n_located,
-          min(at.lon) AS box_left, max(at.lat) AS box_top, max(at.lon) AS box_right, min(at.lat) AS box_bottom,
+        SELECT tile, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS n_vertices, count(loc) AS n_located,
+          min(loc.lon) AS box_left, max(loc.lat) AS box_top, max(loc.lon) AS box_right, min(loc.lat) AS box_bottom,
           CAST(sum(coalesce(degree, 0)) AS BIGINT) AS degree_sum, max(coalesce(degree, 0)) AS degree_max
         FROM own LEFT JOIN degree USING (v) GROUP BY tile""",
     "p5_found": """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,26 +66,46 @@ def face_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.loops(_halves(spark, sf_dir), Workspace(spark, "loops"))
 
 
-def planar_graph(spark: SparkSession, sf_dir: str, work: Workspace) -> DataFrame:
-    """The barrier graph of the edge table: cut at crossings, without dead ends, chains contracted, edges from west to east."""
-    pieces = work.cut(graph.numbered(graph.split(line_edges(spark, sf_dir))), "pieces")
-    core = work.cut(graph.prune_dead_ends(pieces, work), "core")
-    chained = work.cut(graph.contract_chains(core, work), "chains")
-    return work.cut(graph.standardize(chained).drop("reversed"), "graph")
+#: Tables of the flow written already, per session and folder of tables: each is built once and read by all queries.
+_built: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop what earlier queries of the session have built, so that it is built anew."""
+    for key in [k for k in _built if k[0] == spark.sparkContext.applicationId]:
+        del _built[key]
+
+
+def built(spark: SparkSession, sf_dir: str, upto: str) -> dict[str, DataFrame]:
+    """Stages of the flow up to ``upto``: ``graph``, the barrier graph of the edge table cut at crossings, without dead ends,
+    chains contracted, edges from west to east; ``assigned``, its half-edges with their face; ``rings`` and ``polygons``."""
+    have = _built.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    work = Workspace(spark, "flow")
+
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in have:
+            have[name] = work.cut(make(), name)
+        return have[name]
 
+    def planar() -> DataFrame:
+        pieces = work.cut(graph.numbered(graph.split(line_edges(spark, sf_dir))), "pieces")
+        core = work.cut(graph.prune_dead_ends(pieces, work), "core")
+        return graph.standardize(work.cut(graph.contract_chains(core, work), "chains")).drop("reversed")
 
-def face_polygons_of(spark: SparkSession, sf_dir: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Assigned half-edges and polygons (faces.polygons) of the planar graph, both written."""
-    edges = planar_graph(spark, sf_dir, work)
-    assigned = work.cut(faces.assign_faces(edges, work), "faces")
-    return assigned, work.cut(faces.polygons(faces.rings(assigned, edges, work)), "polygons")
+    edges = stage("graph", planar)
+    if upto != "graph":
+        assigned = stage("assigned", lambda: faces.assign_faces(edges, work))
+    if upto in ("rings", "polygons"):
+        ringed = stage("rings", lambda: faces.rings(assigned, edges, work))
+    if upto == "polygons":
+        stage("polygons", lambda: faces.polygons(ringed))
+    return have
 
 
 @query()
 def assign_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The face on the left and on the right of every edge of the planar graph."""
-    work = Workspace(spark, "assign")
-    a = faces.assign_faces(planar_graph(spark, sf_dir, work), work)
+    a = built(spark, sf_dir, "assigned")["assigned"]
     side = lambda b: F.max(F.when(F.col("h") % 2 == b, F.col("face")))
     return a.groupBy("e").agg(side(1).alias("left_face"), side(0).alias("right_face"))
 
@@ -91,30 +113,27 @@ def assign_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def face_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ring of every face of the planar graph."""
-    work = Workspace(spark, "rings")
-    edges = planar_graph(spark, sf_dir, work)
-    r = faces.rings(faces.assign_faces(edges, work), edges, work)
+    r = built(spark, sf_dir, "rings")["rings"]
     return r.select("face", "n_edges", F.size("ring").alias("n_points"), geo.points_text(F.col("ring")).alias("ring"))
 
 
 @query()
 def face_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygon, identifier, area and kind of every face of the planar graph."""
-    _, p = face_polygons_of(spark, sf_dir, Workspace(spark, "polygons"))
+    p = built(spark, sf_dir, "polygons")["polygons"]
     return p.select("face", "face_guid", "n_edges", "signed_area", "is_outer", geo.points_text(F.col("ring")).alias("ring"))
 
 
 @query()
 def face_guid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier of every face of the planar graph."""
-    return face_polygons_of(spark, sf_dir, Workspace(spark, "guids"))[1].select("face", "face_guid")
+    return built(spark, sf_dir, "polygons")["polygons"].select("face", "face_guid")
 
 
 @query()
 def face_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces of the planar graph that share edges, and how many."""
-    work = Workspace(spark, "adjacent")
-    return faces.adjacency(faces.assign_faces(planar_graph(spark, sf_dir, work), work))
+    return faces.adjacency(built(spark, sf_dir, "assigned")["assigned"])
 
 
 def _known_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,14 +143,14 @@ def _known_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def faces_in_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces of the planar graph whose box touches each tile with vertices."""
-    _, p = face_polygons_of(spark, sf_dir, Workspace(spark, "intile"))
+    p = built(spark, sf_dir, "polygons")["polygons"]
     return faces.boxes_in_tiles(p.withColumn("box", geo.to_box(F.col("ring"))), "face", "box", _known_tiles(spark, sf_dir))
 
 
 @query()
 def outer_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box of all faces of the planar graph that touch each tile with vertices."""
-    _, p = face_polygons_of(spark, sf_dir, Workspace(spark, "outer"))
+    p = built(spark, sf_dir, "polygons")["polygons"]
     b = p.select("face", geo.to_box(F.col("ring")).alias("box"))
     met = faces.boxes_in_tiles(b, "face", "box", _known_tiles(spark, sf_dir)).join(b, "face")
     return met.groupBy("tile").agg(F.min("box.left").alias("left"), F.max("box.top").alias("top"), F.max("box.right").alias("right"), F.min("box.bottom").alias("bottom"))
@@ -153,7 +172,7 @@ def faces_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def urban_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow: faces of the planar graph with their identifier, their dominant land use and its share."""
     work = Workspace(spark, "urban")
-    _, p = face_polygons_of(spark, sf_dir, work)
+    p = built(spark, sf_dir, "polygons")["polygons"]
     inner = p.where("not is_outer")
     use = rings(spark, sf_dir).join(landuses(spark, sf_dir).select("way_id", "type").distinct(), "way_id").select("way_id", F.lower(F.trim("type")).alias("type"), "ring")
     use = work.cut(use.where("type <> ''").dropDuplicates(["way_id"]), "landuse")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from planarloom.functions import geo, tiles
 from planarloom.operators import faces, graph
-from planarloom.plans.face_queries import face_polygons_of, planar_graph, urban_polygons
+from planarloom.plans.face_queries import built, urban_polygons
 from planarloom.plans.geometry_queries import RINGS, rings, text_sql
 from planarloom.plans.registry import query
 from planarloom.plans.tile_queries import N14, tx, ty
@@ -57,11 +57,8 @@ def tile_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "partition")
     own = nodes(spark, sf_dir).select("node_id", "loc.lon", "loc.lat", F.array().cast("array<struct<k:string,v:string>>").alias("tags"))
     at = _node_tiles(spark, sf_dir).unionByName(node_extra_tiles(spark, sf_dir))
-    node_rows = osm_xml.node_lines(own.join(at, "node_id")).select("tile", "value")
-    way_rows = osm_xml.way_lines(ways(spark, sf_dir).join(way_tiles(spark, sf_dir), "way_id")).select("tile", "value")
-    for kind, rows in (("nodes", node_rows), ("ways", way_rows)):
-        # Tasks write what they hold, so a tile of very many rows is written by several.
-        rows.write.partitionBy("tile").option("compression", "gzip").option("lineSep", "\n").text(f"{work.path}/{kind}")
+    osm_xml.write_nodes(own.join(at, "node_id"), f"{work.path}/nodes")
+    osm_xml.write_ways(ways(spark, sf_dir).join(way_tiles(spark, sf_dir), "way_id"), f"{work.path}/ways")
     n = osm_xml.nodes(spark, f"{work.path}/nodes/*/*").select("node_id", F.regexp_extract(F.col("_metadata.file_path"), r"tile=(\d+)", 1).cast("bigint").alias("tile"))
     w = osm_xml.ways(spark, f"{work.path}/ways/*/*").select("way_id", F.regexp_extract(F.col("_metadata.file_path"), r"tile=(\d+)", 1).cast("bigint").alias("tile"))
     n, w = (x.groupBy("tile").agg(F.count(F.lit(1)).alias(c)) for x, c in ((n, "n_nodes"), (w, "n_ways")))
@@ -112,18 +109,16 @@ def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(v).unionByName(r).select("kind", "id", geo.points_text(F.col("pts")).alias("points"))
 
 
-def _artifact(spark: SparkSession, sf_dir: str, work: Workspace) -> dict[str, DataFrame]:
-    edges = planar_graph(spark, sf_dir, work)
-    assigned = work.cut(faces.assign_faces(edges, work), "faces")
-    polygons = work.cut(faces.polygons(faces.rings(assigned, edges, work)), "polygons")
-    return artifact.tables(edges, assigned, polygons)
+def _artifact(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    t = built(spark, sf_dir, "polygons")
+    return artifact.tables(t["graph"], t["assigned"], t["polygons"])
 
 
 @query()
 def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every tile of the artefact of the planar graph, written and read back with all references met."""
     work = Workspace(spark, "artifact")
-    artifact.write(_artifact(spark, sf_dir, work), f"{work.path}/artifact")
+    artifact.write(_artifact(spark, sf_dir), f"{work.path}/artifact")
     back = artifact.read(spark, f"{work.path}/artifact")
     counts = [df.groupBy(F.col("tile").cast("bigint").alias("tile")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(name)) for name, df in back.items()]
     whole = counts[0]
@@ -136,7 +131,7 @@ def artifact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices, edges and faces of every binary tile of the planar graph, read back from the files."""
     work = Workspace(spark, "binary")
-    files = work.cut(artifact.binary_tiles(_artifact(spark, sf_dir, work)), "files")
+    files = work.cut(artifact.binary_tiles(_artifact(spark, sf_dir)), "files")
     return artifact.read_binary(files).drop("guids")
 
 
@@ -145,7 +140,7 @@ def vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer of the scored polygons in every tile with vertices that they touch, as vector tiles."""
     work = Workspace(spark, "mvt")
     scored = work.cut(urban_polygons(spark, sf_dir).select("face", "face_guid", "type", "share"), "scored")
-    _, p = face_polygons_of(spark, sf_dir, work)
+    p = built(spark, sf_dir, "polygons")["polygons"]
     known = vertices(spark, sf_dir).select(tiles.tile_of(F.col("loc.lon"), F.col("loc.lat")).alias("tile")).distinct()
     rows = scored.join(p.select("face", "ring"), "face")
     met = faces.boxes_in_tiles(rows.withColumn("box", geo.to_box(F.col("ring"))), "face", "box", known).join(rows, "face")

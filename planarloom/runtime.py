@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one in HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys ...
@@ -59,6 +59,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def cut_counting(self, df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``cut``, and how many rows meet each condition, counted by the job that writes."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *[F.count(F.when(c, 1)).alias(k) for k, c in counts.items()]), label)
+        return out, dict(seen.get)
+
     def drop(self, *labels: str) -> None:
         """Delete tables that nothing reads any more."""
         for label in labels:

@@ -31,31 +31,21 @@ def ways(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, "way", _WAY).select(F.col("_id").alias("way_id"), refs, _tags())
 
 
-def escaped(c: F.Column) -> F.Column:
-    """Text made fit for an XML attribute."""
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
-        c = F.replace(c, F.lit(raw), F.lit(safe))
-    return c
+def _xml_tags() -> F.Column:
+    return F.transform(F.filter("tags", lambda t: t["k"].isNotNull() & t["v"].isNotNull()), lambda t: F.struct(t["k"].alias("_k"), t["v"].alias("_v"))).alias("tag")
 
 
-def element(name: str, attrs: dict[str, F.Column], children: F.Column) -> F.Column:
-    """One XML element as text; attributes that are null are left out."""
-    parts = [F.when(v.isNotNull(), F.concat(F.lit(f' {k}="'), escaped(v.cast("string")), F.lit('"'))) for k, v in attrs.items()]
-    head = F.concat(F.lit(f"<{name}"), *[F.coalesce(p, F.lit("")) for p in parts])
-    return F.concat(head, F.lit(">"), children, F.lit(f"</{name}>"))
+def _write(rows: DataFrame, row: str, path: str) -> None:
+    # Tasks write what they hold, so a tile of very many rows is written by several.
+    rows.write.format("xml").option("rootTag", "osm").option("rowTag", row).option("compression", "gzip").mode("overwrite").partitionBy("tile").save(path)
 
 
-def _tag_lines() -> F.Column:
-    lines = F.transform(F.filter("tags", lambda t: t["k"].isNotNull() & t["v"].isNotNull()), lambda t: F.concat(F.lit('<tag k="'), escaped(t["k"]), F.lit('" v="'), escaped(t["v"]), F.lit('"/>')))
-    return F.coalesce(F.array_join(lines, ""), F.lit(""))
+def write_nodes(rows: DataFrame, path: str) -> None:
+    """Write nodes (node_id, lon, lat, tags, tile) as gzipped XML files, partitioned by tile."""
+    _write(rows.select(F.col("node_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), _xml_tags(), "tile"), "node", path)
 
 
-def node_lines(rows: DataFrame) -> DataFrame:
-    """``value``: each node (node_id, lon, lat, tags) as an XML element; other columns are kept."""
-    return rows.withColumn("value", element("node", {"id": F.col("node_id"), "lat": F.col("lat"), "lon": F.col("lon")}, _tag_lines()))
-
-
-def way_lines(rows: DataFrame) -> DataFrame:
-    """``value``: each way (way_id, refs, tags) as an XML element; other columns are kept."""
-    nd = F.coalesce(F.array_join(F.transform("refs", lambda r: F.concat(F.lit('<nd ref="'), r.cast("string"), F.lit('"/>'))), ""), F.lit(""))
-    return rows.withColumn("value", element("way", {"id": F.col("way_id")}, F.concat(nd, _tag_lines())))
+def write_ways(rows: DataFrame, path: str) -> None:
+    """Write ways (way_id, refs, tags, tile) as gzipped XML files, partitioned by tile."""
+    nd = F.transform("refs", lambda r: F.struct(r.alias("_ref"))).alias("nd")
+    _write(rows.select(F.col("way_id").alias("_id"), nd, _xml_tags(), "tile"), "way", path)
