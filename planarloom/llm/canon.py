@@ -33,6 +33,8 @@ CONFIRMED, NEARNESS, CONFIRMED_MARGIN = 0.2, 0.3, 0.005
 SHORTENED, WORD_OUT, PLURAL = 0.1, 1.0, 0.5
 #: Names of the reference list that every task may hold.
 MAX_NAMES = 200_000
+#: Values a task decides, as long as there are not too many tasks.
+VALUES_PER_TASK, MAX_TASKS = 5_000, 20_000
 
 
 def fold(text: str) -> str:
@@ -171,13 +173,15 @@ def map_values(values: DataFrame, canon: DataFrame, work: Workspace) -> DataFram
     exact = broadcast_if_small(canon.where("k is not null and value is not null").select("k", F.col("value").alias("v")).distinct(), MAX_NAMES)
     keys = sorted({r[1] for r in rows})
     cases = values.where(F.col("k").isin(keys) & F.col("v").rlike(r"\S")).join(exact, ["k", "v"], "left_anti").select("origin", "way_id", "k", "v").distinct()
-    cases = work.cut(cases.withColumn("kv", F.concat("k", F.lit("\0"), "v")), "cases")
+    cases, seen = work.cut_counting(cases.withColumn("kv", F.concat("k", F.lit("\0"), "v")), "cases", n=F.lit(True))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"kv": pdf["kv"], "canon_id": [matcher._find(k, v) for k, v in zip(pdf["k"], pdf["v"], strict=True)]})
 
-    meant = work.cut(cases.select("kv", "k", "v").distinct().mapInPandas(find, "kv string, canon_id bigint"), "meant")
+    # The work is in the values' number, not their bytes, so the number of tasks follows it.
+    tasks = min(MAX_TASKS, 1 + seen["n"] // VALUES_PER_TASK)
+    meant = work.cut(cases.select("kv", "k", "v").distinct().repartition(tasks).mapInPandas(find, "kv string, canon_id bigint"), "meant")
     return skew_join(cases, meant, "kv").select("origin", "way_id", "k", "v", "canon_id")
 
 
