@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+from io import BytesIO
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +37,35 @@ def ways(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, "way", _WAY).select(F.col("_id").alias("way_id"), refs, _tags())
 
 
+CACHED = "file_name string, kind string, id bigint, lon double, lat double, refs array<bigint>, tags array<struct<k: string, v: string>>"
+
+
+def cached(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``CACHED``: nodes ('n') and ways ('w') of the cached tile files below ``folder``: gzipped XML under any name that ends in
+    ``.tile.zip``. ``wanted`` (file_name) picks files; one that is not there, or is broken, gives no rows."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tile.zip").load(folder)
+    files = files.withColumn("file_name", F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B"))))
+    if wanted is not None:
+        files = files.join(wanted.select("file_name").distinct(), "file_name", "left_semi")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, raw in zip(pdf["file_name"], pdf["content"], strict=True):
+                rows = []
+                try:
+                    for _, x in ElementTree.iterparse(gzip.GzipFile(fileobj=BytesIO(raw))):
+                        if x.tag in ("node", "way") and x.get("id"):
+                            tags = [{"k": t.get("k"), "v": t.get("v")} for t in x.iter("tag")]
+                            place = [float(x.get(c)) if x.get(c) else None for c in ("lon", "lat")]
+                            rows.append((name, x.tag[0], int(x.get("id")), *place, [int(n.get("ref")) for n in x.iter("nd")] if x.tag == "way" else None, tags))
+                            x.clear()
+                except (ElementTree.ParseError, OSError, EOFError, ValueError):
+                    rows = []
+                yield pd.DataFrame(rows, columns=["file_name", "kind", "id", "lon", "lat", "refs", "tags"])
+
+    return files.select("file_name", "content").mapInPandas(parse, CACHED)
+
+
 def _xml_tags() -> F.Column:
     return F.transform(F.filter("tags", lambda t: t["k"].isNotNull() & t["v"].isNotNull()), lambda t: F.struct(t["k"].alias("_k"), t["v"].alias("_v"))).alias("tag")
 

@@ -93,3 +93,51 @@ def test_tile_maths_turn_back(spark):
     near = again.select((F.col("lon") + 1e-9).alias("lon"), (F.col("lat") - 1e-9).alias("lat"), "c").select(tiles.quantize(F.col("lon"), F.col("lat")).alias("d"), "c").collect()
     assert all(r["c"] == r["d"] for r in near)
     assert [r[0] for r in spark.createDataFrame([(180.0, 0.0), (0.0, 86.0)], "lon double, lat double").select(tiles.around(F.col("lon"), F.col("lat"), 0)).collect()] == [0, None]
+
+
+def test_cached_tiles_are_read_by_name(spark, tmp_path):
+    for name, text in (("tiles-full-14-1-2.osm.tile.zip", XML), ("b.osm.tile.zip", XML.replace("</osm>", "")), ("c.tile.zip", XML)):
+        with gzip.open(tmp_path / name, "wt") as f:
+            f.write(text)
+    (tmp_path / "d.tile.zip").write_bytes(b"no gzip")
+    (tmp_path / "e.txt").write_text(XML)
+    every = osm_xml.cached(spark, str(tmp_path)).collect()
+    assert {r["file_name"] for r in every} == {"tiles-full-14-1-2.osm.tile.zip", "c.tile.zip"}
+    one = osm_xml.cached(spark, str(tmp_path), spark.createDataFrame([("c.tile.zip",), ("missing",)], "file_name string")).collect()
+    assert sorted((r["kind"], r["id"], r["lon"], r["refs"], [tuple(t) for t in r["tags"]]) for r in one) == [("n", 1, 4.5, None, [("a", "<x>")]), ("n", 2, 4.6, None, []), ("w", 9, None, [1, 2], [("highway", "track")])]
+
+
+def pbf(blocks):
+    """A PBF file of primitive blocks."""
+    import zlib
+
+    from planarloom.sources.features import _field as field
+
+    out = b""
+    for kind, body in [(b"OSMHeader", b""), *((b"OSMData", b) for b in blocks)]:
+        blob = field(2, len(body)) + field(3, zlib.compress(body))
+        head = field(1, kind) + field(3, len(blob))
+        out += len(head).to_bytes(4, "big") + head + blob
+    return out
+
+
+def test_pbf_blocks_are_read_in_parallel(spark, tmp_path):
+    from planarloom.sources import osm_pbf
+    from planarloom.sources.features import _field as field
+    from planarloom.sources.features import _varint, _zigzag
+
+    sint = lambda *xs: b"".join(_varint(_zigzag(x)) for x in xs)
+    table = field(1, b"".join(field(1, s) for s in (b"", b"highway", b"track", b"name", "Hôtel".encode())))
+    dense = field(2, field(1, sint(10, 1, -5)) + field(8, sint(510000000, 1000, -2000)) + field(9, sint(-45000000, 10, 10)) + field(10, bytes([1, 2, 0, 0, 3, 4, 1, 2, 0])))
+    way = field(3, field(1, 99) + field(2, bytes([1, 3])) + field(3, bytes([2, 4])) + field(8, sint(10, 1, -1)))
+    node = field(1, field(1, _zigzag(7)) + field(8, _zigzag(1)) + field(9, _zigzag(2)))
+    one, two = table + field(2, dense) + field(2, way), table + field(2, node) + field(17, 1000) + field(19, 5000)
+    (tmp_path / "a.pbf").write_bytes(pbf([one, two]) + b"\x00\x00")
+    got = sorted(((r["kind"], r["id"], r["lon"] and round(r["lon"], 9), r["lat"] and round(r["lat"], 9), r["refs"], [tuple(t) for t in r["tags"]]) for r in osm_pbf.elements(spark, [str(tmp_path / "a.pbf")], tasks=3).collect()), key=str)
+    assert got == [
+        ("n", 10, -4.5, 51.0, None, [("highway", "track")]),
+        ("n", 11, -4.499999, 51.0001, None, []),
+        ("n", 6, -4.499998, 50.9999, None, [("name", "Hôtel"), ("highway", "track")]),
+        ("n", 7, 2e-06, 6e-06, None, []),
+        ("w", 99, None, None, [10, 11, 10], [("highway", "track"), ("name", "Hôtel")]),
+    ]
