@@ -43,52 +43,168 @@ def clean_ring(xs: list, ys: list) -> list[tuple[float, float]]:
     return out
 
 
+def twice_area(ring: list[tuple[float, float]]) -> float:
+    """Twice the signed area of a ring given without its closing point; its sign, and whether it is 0, are exact."""
+    x, y = np.array([p[0] for p in ring]), np.array([p[1] for p in ring])
+    terms = (x - x[0]) * (np.roll(y, -1) - y[0]), (np.roll(x, -1) - x[0]) * (y - y[0])
+    total = float(np.sum(terms[0] - terms[1]))
+    if abs(total) > DET_ERR * len(ring) * float(np.sum(np.abs(terms[0]) + np.abs(terms[1]))):
+        return total
+    fx, fy = [Fraction(v) for v in x.tolist()], [Fraction(v) for v in y.tolist()]
+    exact = sum(fx[i - 1] * fy[i] - fx[i] * fy[i - 1] for i in range(len(ring)))
+    return float((exact > 0) - (exact < 0)) if exact else 0.0
+
+
+def touching(ax, ay, bx, by, cx, cy, dx, dy) -> np.ndarray:
+    """Whether segments a-b and c-d have a point in common, over arrays; exact."""
+    met = (np.minimum(ax, bx) <= np.maximum(cx, dx)) & (np.minimum(cx, dx) <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(ay, by))
+    out = np.zeros(met.shape, bool)
+    at = np.flatnonzero(met)
+    if len(at):
+        ax, ay, bx, by, cx, cy, dx, dy = (np.broadcast_to(v, met.shape).ravel()[at] for v in (ax, ay, bx, by, cx, cy, dx, dy))
+        one = orient_many(ax, ay, bx, by, cx, cy) * orient_many(ax, ay, bx, by, dx, dy) <= 0
+        out.ravel()[at] = one & (orient_many(cx, cy, dx, dy, ax, ay) * orient_many(cx, cy, dx, dy, bx, by) <= 0)
+    return out
+
+
+def simple_rings(x: np.ndarray, y: np.ndarray, block: int = 1_000_000) -> np.ndarray:
+    """Which of the rings (rows of ``x`` and ``y``, without closing points) neither cross nor touch themselves."""
+    r, n = x.shape
+    ok = np.ones(r, bool)
+    if n < 3:
+        return ok
+    x2, y2 = np.roll(x, -1, 1), np.roll(y, -1, 1)
+    x3, y3 = np.roll(x, -2, 1), np.roll(y, -2, 1)
+    flat = orient_many(x, y, x2, y2, x3, y3) == 0  # a side that turns straight back on the one before
+    ok &= ~(flat & ((x2 - x) * (x3 - x2) + (y2 - y) * (y3 - y2) < 0)).any(1)
+    if n == 3:
+        return ok
+    # Sides in the order of their western ends; each meets only those that begin before it ends.
+    if n > 64:
+        for k in range(r):
+            west, east = np.minimum(x[k], x2[k]), np.maximum(x[k], x2[k])
+            order = np.argsort(west, kind="stable")
+            stop = np.searchsorted(west[order], east[order], side="right")
+            first = 0
+            while ok[k] and first < n:
+                last = first + 1
+                while last < n and int((stop[first : last + 1] - np.arange(first, last + 1) - 1).sum()) < block:
+                    last += max(1, (last - first) // 2)
+                last = min(last, n)
+                counts = np.maximum(stop[first:last] - np.arange(first, last) - 1, 0)
+                i = np.repeat(np.arange(first, last), counts)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+                i, j = order[i], order[j]
+                apart = (np.abs(i - j) > 1) & (np.abs(i - j) < n - 1)
+                i, j = i[apart], j[apart]
+                ok[k] = not touching(x[k][i], y[k][i], x2[k][i], y2[k][i], x[k][j], y[k][j], x2[k][j], y2[k][j]).any()
+                first = last
+        return ok
+    i, j = np.triu_indices(n, 2)
+    i, j = i[j - i < n - 1], j[j - i < n - 1]
+    step = max(1, block // max(1, len(i)))
+    for k in range(0, r, step):
+        s = slice(k, k + step)
+        ok[s] &= ~touching(x[s][:, i], y[s][:, i], x2[s][:, i], y2[s][:, i], x[s][:, j], y[s][:, j], x2[s][:, j], y2[s][:, j]).any(1)
+    return ok
+
+
 def ear_clip(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]] | None:
-    """Triangles (indexes, counter-clockwise) of a simple ring given without its closing point; None if none can be cut
-    off at some step, which happens only for rings that cross or touch themselves."""
+    """Triangles (indexes, counter-clockwise) of a simple ring given without its closing point; None for rings that cross or
+    touch themselves."""
     n = len(ring)
     if n < 3:
         return []
-    x, y = np.array([p[0] for p in ring]), np.array([p[1] for p in ring])
-    # The lowest-leftmost point is convex; its turn gives the direction exactly, unless it is a flat spike.
-    twice = sum((Fraction(ring[i][0]) * Fraction(ring[(i + 1) % n][1]) - Fraction(ring[(i + 1) % n][0]) * Fraction(ring[i][1])) for i in range(n)) if n <= 8 else float(np.sum((x - x[0]) * (np.roll(y, -1) - y[0]) - (np.roll(x, -1) - x[0]) * (y - y[0])))
+    x, y = np.array([[p[0] for p in ring]]), np.array([[p[1] for p in ring]])
+    return clip_simple(ring) if simple_rings(x, y)[0] else None
+
+
+def clip_simple(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]] | None:
+    """Ears of a simple ring, cut off one by one. Only reflex corners can lie in an ear; they are looked up in a grid of about
+    as many cells as there are corners, so a long ring takes time in proportion to its length."""
+    n = len(ring)
+    twice = twice_area(ring)
     if twice == 0:
         return None
-    left = list(range(n)) if twice > 0 else list(range(n))[::-1]
+    ahead = [(i + 1) % n for i in range(n)] if twice > 0 else [(i - 1) % n for i in range(n)]
+    behind = [0] * n
+    for i, j in enumerate(ahead):
+        behind[j] = i
+
+    def turn(i: int) -> int:
+        return orient(*ring[behind[i]], *ring[i], *ring[ahead[i]])
+
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    left, bottom = min(xs), min(ys)
+    side = max(1, int(n**0.5))
+    wide, high = (max(xs) - left) / side or 1.0, (max(ys) - bottom) / side or 1.0
+    col = [min(side - 1, int((v - left) / wide)) for v in xs]
+    row = [min(side - 1, int((v - bottom) / high)) for v in ys]
+    grid: dict[tuple[int, int], set[int]] = {}
+    reflex = [turn(i) <= 0 for i in range(n)]
+    for i in range(n):
+        if reflex[i]:
+            grid.setdefault((col[i], row[i]), set()).add(i)
+
+    def is_ear(a: int, b: int, c: int) -> bool:
+        (ax, ay), (bx, by), (cx, cy) = ring[a], ring[b], ring[c]
+        low_x, top_x, low_y, top_y = min(ax, bx, cx), max(ax, bx, cx), min(ay, by, cy), max(ay, by, cy)
+        cells = range(min(col[a], col[b], col[c]), max(col[a], col[b], col[c]) + 1), range(min(row[a], row[b], row[c]), max(row[a], row[b], row[c]) + 1)
+        some = [grid[k] for k in ((p, q) for p in cells[0] for q in cells[1]) if k in grid] if len(cells[0]) * len(cells[1]) <= len(grid) else grid.values()
+        for own in some:
+            for i in own:
+                if i in (a, b, c) or not (low_x <= xs[i] <= top_x and low_y <= ys[i] <= top_y):
+                    continue
+                p, q = xs[i], ys[i]
+                if orient(ax, ay, bx, by, p, q) >= 0 and orient(bx, by, cx, cy, p, q) >= 0 and orient(cx, cy, ax, ay, p, q) >= 0:
+                    return False
+        return True
+
     out: list[tuple[int, int, int]] = []
-    at = since = 0
-    while len(left) > 3:
-        if since > len(left):
+    left_over, at, since = n, 0, 0
+    while left_over > 3:
+        if since > left_over:
             return None
-        at %= len(left)
-        a, b, c = left[at - 1], left[at], left[(at + 1) % len(left)]
-        turn = orient(x[a], y[a], x[b], y[b], x[c], y[c])
-        cut = turn == 0
-        if turn > 0:
-            rest = np.array([i for i in left if i not in (a, b, c)])
-            px, py = x[rest], y[rest]
-            near = (px >= min(x[a], x[b], x[c])) & (px <= max(x[a], x[b], x[c])) & (py >= min(y[a], y[b], y[c])) & (py <= max(y[a], y[b], y[c]))
-            cut = True
-            for i in rest[near]:
-                if ring[i] in (ring[a], ring[c]) :
-                    continue  # the same corner passed twice doesn't block the ear by itself
-                if all(orient(x[p], y[p], x[q], y[q], x[i], y[i]) >= 0 for p, q in ((a, b), (b, c), (c, a))):
-                    cut = False
-                    break
-            if cut:
-                out.append((a, b, c))
-        if cut:
-            left.pop(at)
-            at = max(at - 1, 0)
-            since = 0
+        a, c = behind[at], ahead[at]
+        t = turn(at)
+        if t == 0 or (t > 0 and is_ear(a, at, c)):
+            if t:
+                out.append((a, at, c))
+            ahead[a], behind[c] = c, a
+            if reflex[at]:
+                grid[col[at], row[at]].discard(at)
+            left_over, since = left_over - 1, 0
+            for i in (a, c):  # corners can only become convex
+                if reflex[i] and turn(i) > 0:
+                    reflex[i] = False
+                    grid[col[i], row[i]].discard(i)
+            at = a
         else:
-            at += 1
-            since += 1
-    a, b, c = left
-    turn = orient(x[a], y[a], x[b], y[b], x[c], y[c])
-    if turn > 0:
-        out.append((a, b, c))
-    return None if turn < 0 else out
+            at, since = c, since + 1
+    a, c = behind[at], ahead[at]
+    t = turn(at)
+    if t > 0:
+        out.append((a, at, c))
+    return None if t < 0 else out
+
+
+def triangles(rings: list[list[tuple[float, float]]]) -> list[list[tuple[int, int, int]] | None]:
+    """``ear_clip`` of many rings. Rings of one length are tested together, and convex ones are cut as a fan, whose triangles
+    are ears all."""
+    out: list[list[tuple[int, int, int]] | None] = [[] for _ in rings]
+    by_n: dict[int, list[int]] = {}
+    for k, ring in enumerate(rings):
+        if len(ring) >= 3:
+            by_n.setdefault(len(ring), []).append(k)
+    for n, ks in by_n.items():
+        pts = np.array([rings[k] for k in ks], float)
+        x, y = pts[..., 0], pts[..., 1]
+        simple = simple_rings(x, y)
+        turns = orient_many(x, y, np.roll(x, -1, 1), np.roll(y, -1, 1), np.roll(x, -2, 1), np.roll(y, -2, 1))
+        fan_left, fan_right = [(0, i, i + 1) for i in range(1, n - 1)], [(0, i + 1, i) for i in range(1, n - 1)]
+        for k, ok, low, top in zip(ks, simple, turns.min(1), turns.max(1), strict=True):
+            out[k] = None if not ok else fan_left if low > 0 else fan_right if top < 0 else clip_simple(rings[k])
+    return out
 
 
 class BoxTree:

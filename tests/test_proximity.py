@@ -103,3 +103,56 @@ def test_crossing_ring_keeps_points_on_fan_diagonals(spark):
     v = spark.createDataFrame([(i, *p, "") for i, p in pts.items()], PTS)
     for treelets in (1, 5):
         assert {tuple(r) for r in P.points_in_rings(v, "v", poly, "way_id", "ring", Workspace(spark, "t"), treelets=treelets).collect()} == want
+
+
+def test_rings_that_cross_themselves_are_told_apart():
+    from planarloom.functions.trig import simple_rings, triangles
+
+    def crosses(r):
+        n = len(r)
+        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        for i in range(n):
+            for j in range(i + 2, n - (i == 0)):
+                a, b, c, d = r[i], r[(i + 1) % n], r[j], r[(j + 1) % n]
+                if turn(a, b, c) * turn(a, b, d) <= 0 and turn(c, d, a) * turn(c, d, b) <= 0:
+                    return True
+        return False
+
+    rnd = random.Random(11)
+    cases = [[(rnd.random(), rnd.random()) for _ in range(n)] for n in (5, 6, 8, 12) for _ in range(150)]
+    made = triangles(cases)
+    assert [t is None for t in made] == [crosses(r) for r in cases] and any(t is not None for t in made)
+    area = lambda t: sum(t[i][0] * t[(i + 1) % len(t)][1] - t[(i + 1) % len(t)][0] * t[i][1] for i in range(len(t))) / 2
+    for r, t in zip(cases, made, strict=True):
+        if t is not None:
+            assert sum(abs(area([r[i] for i in x])) for x in t) == pytest.approx(abs(area(r)))
+    import numpy as np
+
+    wave = [(math.cos(2 * math.pi * i / 3000) * (1 + 0.2 * math.sin(i)), math.sin(2 * math.pi * i / 3000) * (1 + 0.2 * math.sin(i))) for i in range(3000)]
+    a = np.array(wave)
+    assert simple_rings(a[None, :, 0], a[None, :, 1])[0]
+    ears = ear_clip(wave)
+    assert sum(area([wave[i] for i in t]) for t in ears) == pytest.approx(abs(area(wave)))
+
+
+def test_touching_order_of_the_points_given_in_the_review(spark):
+    ring = [(0.0, 0.0), (4.0, 4.0), (2.0, 6.0), (0.0, 4.0), (6.0, 2.0), (4.0, 0.0), (0.0, 0.0)]
+    poly = spark.createDataFrame([(1, ring, "")], POLY)
+    v = spark.createDataFrame([(1, 3.0, 1.0, "")], PTS)
+    assert P.points_in_rings(v, "v", poly, "way_id", "ring", Workspace(spark, "t")).count() == 1
+
+
+def test_triangles_and_points_are_both_dealt_out(spark):
+    rnd = random.Random(2)
+    rs = rings() | {50 + i: [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)] for i in range(20)}
+    pts = {i: (rnd.uniform(-1, 5), rnd.uniform(-1, 5)) for i in range(150)}
+    poly = spark.createDataFrame([(k, r, "i") for k, r in rs.items()], POLY)
+    v = spark.createDataFrame([(i, *p, "x") for i, p in pts.items()], PTS)
+    got = {tuple(r) for r in P.points_in_rings(v, "v", poly, "way_id", "ring", Workspace(spark, "t"), treelets=1, block=40, tri_block=7).collect()}
+    assert got == {(i, k) for i, p in pts.items() for k, r in rs.items() if even_odd(*p, r)}
+
+
+def test_many_points_at_one_place(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELL_POINTS", 5)
+    v = spark.createDataFrame([(i, 4.0, 51.0, "") for i in range(40)], PTS)
+    assert P.near_pairs(v, "v", 0.25).count() == 40 * 39 // 2
