@@ -58,3 +58,35 @@ def points_in_boxes(points: DataFrame, ident: str, rows: DataFrame, box_id: str,
     placed = rows.where(F.col(box).isNotNull()).select(F.col(box_id), F.col(box).alias("_box"), F.explode(cells_of(F.col(box), size)).alias("_c")).select(box_id, "_box", "_c.cx", "_c.cy")
     one, two = salted(at, placed, ident)
     return one.join(two, ["cx", "cy", "salt"]).where(geo.holds(F.col("_box"), F.col("lon"), F.col("lat"))).select(box_id, ident)
+
+
+#: Coarsest level: a cell of 2^16 times the size.
+LEVELS = 16
+
+
+def filed(rows: DataFrame, ident: str, box: str, size: float, own: bool) -> DataFrame:
+    """``id``, ``box``, ``cx``, ``cy`` of the at most four cells a box touches at the level where it is no larger than one
+    (``own``), or at every coarser level. Cells of level l are 2^l times ``size`` wide; ``cx`` holds the level as well."""
+    b = F.col(box)
+    wide = F.greatest(b["right"] - b["left"], b["top"] - b["bottom"]) + 2 * geo.BOX_EPS
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(wide / size)).cast("int")))
+    placed = rows.where(b.isNotNull()).select(F.col(ident).alias("id"), b.alias("box"), level.alias("_own"))
+    up = placed.withColumn("_l", F.col("_own")) if own else placed.where(F.col("_own") < LEVELS).withColumn("_l", F.explode(F.sequence(F.col("_own") + 1, F.lit(LEVELS))))
+    step = F.pow(F.lit(2.0), F.col("_l")) * size
+    at = lambda v: F.floor(v / step)
+    xs = F.sequence(at(F.col("box.left") - geo.BOX_EPS), at(F.col("box.right") + geo.BOX_EPS))
+    ys = F.sequence(at(F.col("box.bottom") - geo.BOX_EPS), at(F.col("box.top") + geo.BOX_EPS))
+    cells = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct((x * (LEVELS + 1) + F.col("_l")).alias("cx"), y.alias("cy")))))
+    return up.withColumn("_c", F.explode(cells)).select("id", "box", "_c.cx", "_c.cy")
+
+
+def meeting(a: DataFrame, b: DataFrame, ident: str, box: str, size: float) -> DataFrame:
+    """``id_a``, ``id_b`` of all pairs of a row of ``a`` and one of ``b`` whose boxes meet, each once. Boxes of every size make a
+    bounded number of rows: the larger of a pair is met at its own level, the smaller stands in that level's cells too."""
+    found = None
+    for left_own, right_own in ((True, True), (True, False), (False, True)):
+        left, right = salted(filed(a, ident, box, size, left_own), filed(b, ident, box, size, right_own), "id")
+        left, right = (x.withColumnsRenamed({"id": f"id_{k}", "box": f"box_{k}"}) for x, k in ((left, "a"), (right, "b")))
+        pairs = left.join(right, ["cx", "cy", "salt"]).where(geo.overlaps(F.col("box_a"), F.col("box_b"))).select("id_a", "id_b")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()

@@ -14,7 +14,7 @@ from planarloom.operators import boxes
 from planarloom.runtime import Workspace, skew_join
 
 #: Side of a cell in degrees when segments are looked for that cross.
-CROSS_CELL = 0.002
+CROSS_CELL = 0.01
 MAX_DOUBLINGS = 64
 
 

@@ -87,14 +87,10 @@ def overlap_areas(pairs: DataFrame) -> DataFrame:
 
 def overlaps(polygons: DataFrame, landuse: DataFrame, size: float) -> DataFrame:
     """``face``, ``way_id``, ``share``: the part of each polygon (face, ring) that each land use (way_id, ring) covers, where it is
-    more than nothing. Pairs meet by the grid cells of their boxes."""
+    more than nothing. Pairs meet by cells of their boxes, at a level that fits each box."""
     a = polygons.select(F.col("face").alias("id"), geo.to_box(F.col("ring")).alias("box"))
     b = landuse.select(F.col("way_id").alias("id"), geo.to_box(F.col("ring")).alias("box"))
-    left = a.withColumn("c", F.explode(boxes.cells_of(F.col("box"), size))).select("id", "box", "c.cx", "c.cy")
-    right = b.withColumn("c", F.explode(boxes.cells_of(F.col("box"), size))).select("id", "box", "c.cx", "c.cy")
-    left, right = boxes.salted(left, right, "id")
-    met = left.withColumnsRenamed({"id": "id_a", "box": "box_a"}).join(right.withColumnsRenamed({"id": "id_b", "box": "box_b"}), ["cx", "cy", "salt"])
-    met = met.where(geo.overlaps(F.col("box_a"), F.col("box_b"))).select("id_a", "id_b").distinct()
+    met = boxes.meeting(a, b, "id", "box", size)
     pairs = met.join(polygons.select(F.col("face").alias("id_a"), F.col("ring").alias("ring_a")), "id_a").join(landuse.select(F.col("way_id").alias("id_b"), F.col("ring").alias("ring_b")), "id_b")
     shares = overlap_areas(pairs).where("area_a > 0 and common > 1e-9 * area_a")
     return shares.select(F.col("id_a").alias("face"), F.col("id_b").alias("way_id"), F.least(F.lit(1.0), F.col("common") / F.col("area_a")).alias("share"))

@@ -44,6 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/planarloom-{name}-{uuid.uuid4().hex}"
+        self._tables: dict[str, str] = {}
         atexit.register(self._remove, self.path)
 
     def _remove(self, path: str) -> None:
@@ -54,8 +55,9 @@ class Workspace:
             pass  # the session has ended already
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` and read it back: the result has no lineage beyond the files."""
-        at = f"{self.path}/{label}"
+        """Write ``df`` and read it back: the result has no lineage beyond the files. A label used again names another table;
+        the one before stays, as something may still read it."""
+        at = self._tables[label] = f"{self.path}/{label}" if label not in self._tables else f"{self.path}/{label}-{uuid.uuid4().hex[:8]}"
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
@@ -68,7 +70,7 @@ class Workspace:
     def drop(self, *labels: str) -> None:
         """Delete tables that nothing reads any more."""
         for label in labels:
-            self._remove(f"{self.path}/{label}")
+            self._remove(self._tables.get(label, f"{self.path}/{label}"))
 
 
 def size_in_bytes(df: DataFrame) -> int:

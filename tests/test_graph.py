@@ -275,3 +275,23 @@ def test_boxes_in_tiles_of_any_size(spark):
             (x0, y0), (x1, y1) = tile(b["left"], b["top"]), tile(b["right"], b["bottom"])
             want |= {(t, i) for t in (r["tile"] for r in known.collect()) if x0 <= t % 2**14 <= x1 and y0 <= t // 2**14 <= y1}
     assert got == want
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    from planarloom.operators import boxes
+
+    rnd = random.Random(7)
+    kind = "id bigint, box struct<left: double, top: double, right: double, bottom: double>"
+
+    def some(n, seed):
+        rnd.seed(seed)
+        out = []
+        for i in range(n):
+            x, y, s = rnd.uniform(0, 2), rnd.uniform(0, 2), rnd.choice([0.0, 0.004, 0.03, 0.5, 60.0])
+            out.append((i, (x, y + s, x + s, y)))
+        return [*out, (n, None)]
+
+    a, b = some(40, 1), some(40, 2)
+    got = boxes.meeting(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), "id", "box", 0.01).collect()
+    want = {(i, j) for i, p in a for j, q in b if p and q and p[0] <= q[2] and q[0] <= p[2] and q[3] <= p[1] and p[3] <= q[1]}
+    assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want and len(want) > 100
