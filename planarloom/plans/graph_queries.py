@@ -132,7 +132,7 @@ def segment_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges cut at every proper crossing."""
-    s = graph.split(line_edges(spark, sf_dir))
+    s = graph.pieces(line_edges(spark, sf_dir))
     a, b = F.get("pts", F.lit(0)), F.get("pts", F.size("pts") - 1)
     return s.select("e", F.col("piece").cast("bigint").alias("piece"), F.size("pts").alias("n_points"), F.round(a["lon"], 9).alias("lon1"), F.round(a["lat"], 9).alias("lat1"), F.round(b["lon"], 9).alias("lon2"), F.round(b["lat"], 9).alias("lat2"))
 
