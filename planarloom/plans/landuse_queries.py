@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planarloom.functions import geo, rules, tiles
 from planarloom.operators import landuse
-from planarloom.plans.face_queries import built
+from planarloom.plans.face_queries import USE_SQUARE, built
 from planarloom.plans.geometry_queries import RINGS, box_sql, rings
 from planarloom.plans.registry import query
 from planarloom.plans.tile_queries import N14, classified_sql, tx, ty
@@ -49,7 +49,7 @@ def _use(spark: SparkSession, sf_dir: str, work: Workspace) -> DataFrame:
 def _overlaps(spark: SparkSession, sf_dir: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
     p = built(spark, sf_dir, "polygons")["polygons"]
     use = _use(spark, sf_dir, work)
-    return work.cut(landuse.overlaps(p.where("not is_outer").select("face", "ring"), use, 0.01), "overlaps"), use
+    return work.cut(landuse.overlaps(p.where("not is_outer").select("face", "ring"), use, USE_SQUARE), "overlaps"), use
 
 
 @query()

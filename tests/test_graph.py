@@ -295,3 +295,63 @@ def test_boxes_of_all_sizes_meet(spark):
     got = boxes.meeting(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), "id", "box", 0.01).collect()
     want = {(i, j) for i, p in a for j, q in b if p and q and p[0] <= q[2] and q[0] <= p[2] and q[3] <= p[1] and p[3] <= q[1]}
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want and len(want) > 100
+
+
+def test_cells_and_face_guids_of_arrays_are_those_of_columns(spark):
+    import numpy as np
+
+    rnd = random.Random(3)
+    rings = [[(rnd.uniform(3, 6), rnd.uniform(49, 52)) for _ in range(n)] for n in (3, 4, 9, 30)] + [[(50.5, 4.1), (4.1, 50.5), (-4.2, -50.1)]]
+    rings = [r + r[:1] for r in rings]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rings)], f"id int, ring array<{P}>")
+    cells = F.transform("ring", lambda p: tiles.quantize(p["lon"], p["lat"]))
+    rows = df.withColumn("c", cells).select("id", "c", identity.face_guid(F.col("c"), F.transform("c", lambda c: tiles.dequantize(c))).alias("g")).orderBy("id").collect()
+    points, starts = np.array([p for r in rings for p in r]), np.cumsum([0, *map(len, rings)])
+    assert identity.face_guids(points, starts) == [r["g"] for r in rows]
+    assert identity.cell_keys(points).tolist() == [(c["tile"] << 28) + (c["x"] << 14) + c["y"] for r in rows for c in r["c"]]
+
+
+def test_long_loops_and_short_ones_against_a_walk(spark):
+    # the short cycles are done first and no longer joined; the place of each id on its cycle comes with it
+    rnd = random.Random(6)
+    ids = list(range(0, 900, 3))
+    rnd.shuffle(ids)
+    nx, at = {}, 0
+    for size in (1, 2, 3, 3, 4, 5, 7, 8, 9, 16, 17, 31, 33, 100, 61):
+        own, at = ids[at : at + size], at + size
+        nx |= dict(zip(own, own[1:] + own[:1], strict=True))
+    rows = graph.cycles(spark.createDataFrame(list(nx.items()), "id bigint, nx bigint"), Workspace(spark, "c"), "c").collect()
+    assert len(rows) == len(nx) == 300
+    for r in rows:
+        k, way = r["id"], []
+        while not way or k != r["id"]:
+            way.append(k)
+            k = nx[k]
+        assert (r["nx"], r["least"], r["ahead"]) == (nx[r["id"]], min(way), way.index(min(way)))
+
+
+def test_shares_of_wide_and_thin_polygons_against_single_pairs(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    centres = np.vstack([rnd.uniform(4, 5, (150, 2)), 4.5 + rnd.normal(0, 0.002, (150, 2))])
+    star = [(c + np.array([np.cos(k), np.sin(k)]).T * r[:, None]) for c, r, k in ((c, rnd.uniform(0.001, 0.004, 7), np.sort(rnd.uniform(0, 6.28, 7))) for c in centres)]
+    uses = [[*map(tuple, s.tolist()), tuple(s[0].tolist())] for s in star]
+    faces_ = [[(3.0, 3.0), (3.0, 50.0), (50.0, 3.0), (3.0, 3.0)], [(4.0, 4.0), (50.0, 50.1), (50.0, 50.0), (4.0, 4.0)], [(4.499, 4.499), (4.499, 4.503), (4.502, 4.5), (4.499, 4.499)], [(30.0, 30.0), (30.0, 31.0), (31.0, 31.0), (30.0, 30.0)]]
+    poly = spark.createDataFrame(list(enumerate(faces_)), f"face bigint, ring array<{P}>")
+    use = spark.createDataFrame([(k, "x", r) for k, r in enumerate(uses)], f"way_id bigint, type string, ring array<{P}>")
+    landuse.CROWD, kept = 12, landuse.CROWD
+    try:
+        got = {(r["face"], r["way_id"]): r["share"] for r in landuse.overlaps(poly, use, 1e-4).collect()}
+    finally:
+        landuse.CROWD = kept
+    want = {}
+    for f, ring in enumerate(faces_):
+        a = np.array(ring)
+        area = abs(landuse.fan(a - a[0])[2])
+        for w, r in enumerate(uses):
+            common = landuse.common_area(a, np.array(r))
+            if common > 1e-9 * area:
+                want[f, w] = min(1.0, common / area)
+    assert set(got) == set(want) and len(want) > 300 and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    assert landuse.overlaps(poly, use.limit(0), 1e-4).count() == 0
