@@ -141,3 +141,38 @@ def test_pbf_blocks_are_read_in_parallel(spark, tmp_path):
         ("n", 7, 2e-06, 6e-06, None, []),
         ("w", 99, None, None, [10, 11, 10], [("highway", "track"), ("name", "Hôtel")]),
     ]
+
+
+def test_many_tiles_of_an_artifact_make_few_files_and_replace_themselves_only(spark, tmp_path):
+    from pathlib import Path
+
+    row = lambda k: (f"v{k}", 1, 1, k)
+    kind = "guid string, x int, y int, tile bigint"
+    tile = [y * 2**14 + x for y in range(20) for x in range(20)]
+    artifact.write({"vertex": spark.createDataFrame([row(k) for k in tile], kind).repartition(8)}, f"{tmp_path}/a")
+    files = lambda: list(Path(tmp_path, "a", "vertex").rglob("*.parquet"))
+    assert len(files()) <= 2 * artifact.SIDE**2 < len(tile)
+    artifact.write({"vertex": spark.createDataFrame([("new", 2, 2, tile[0]), ("far", 3, 3, 10**8)], kind)}, f"{tmp_path}/a")
+    assert len(files()) <= 2 * artifact.SIDE**2
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/a/vertex").select("guid", "x", "y", "tile").collect()}
+    assert got == {row(k) for k in tile[1:]} | {("new", 2, 2, tile[0]), ("far", 3, 3, 10**8)}
+    rest = {"edge": "guid string, v1 string, v2 string, tile bigint", "face": "guid string, tile bigint", "face_edge": "face string, edge string, tile bigint"}
+    some = {"edge": [(f"e{k}", f"v{k}", f"v{k}", k) for k in tile[1:]], "face": [(f"f{k}", k) for k in tile[1:]], "face_edge": [(f"f{k}", f"e{k}", k) for k in tile[1:]]}
+    artifact.write({n: spark.createDataFrame(some[n], rest[n]) for n in rest}, f"{tmp_path}/a")
+    back = artifact.read(spark, f"{tmp_path}/a", tile[1:3])
+    assert all({r["tile"] for r in df.collect()} == set(tile[1:3]) for df in back.values())
+
+
+def test_edges_of_the_artifact_are_named_as_by_columns(spark):
+    from planarloom.functions import identity
+
+    lines = [(1, [(4.0, 51.0), (4.001, 51.2), (4.1, 51.3)]), (2, [(4.1, 51.3), (4.0, 51.0)]), (3, [(4.0, 51.0), (4.2, 95.0), (4.3, 51.0)])]
+    edges = spark.createDataFrame([(e, p, [("k", "v")] if e == 1 else None) for e, p in lines], "e bigint, pts array<struct<lon: double, lat: double>>, tags array<struct<k: string, v: string>>")
+    none = spark.createDataFrame([], "h bigint, e bigint, face bigint")
+    faces = spark.createDataFrame([], "face bigint, face_guid string, ring array<struct<lon: double, lat: double>>")
+    got = artifact.tables(edges, none, faces)
+    c = F.transform("pts", lambda p: tiles.quantize(p["lon"], p["lat"]))
+    a, b = F.get(c, F.lit(0)), F.get(c, F.size("pts") - 1)
+    want = edges.select(identity.edge_guid(c).alias("guid"), identity.vertex_guid(a).alias("v1"), identity.vertex_guid(b).alias("v2"), F.slice(c, 2, F.size("pts") - 2).alias("shape"), "tags", a["tile"].alias("tile"))
+    assert sorted(map(str, got["edge"].collect())) == sorted(map(str, want.collect()))
+    assert got["vertex"].count() == 3
