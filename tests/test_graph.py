@@ -355,3 +355,42 @@ def test_shares_of_wide_and_thin_polygons_against_single_pairs(spark):
                 want[f, w] = min(1.0, common / area)
     assert set(got) == set(want) and len(want) > 300 and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
     assert landuse.overlaps(poly, use.limit(0), 1e-4).count() == 0
+
+
+def some_boxes(rnd):
+    box = lambda l, b, r, t: {"left": l, "top": t, "right": r, "bottom": b}
+    rows = [(i, box(x, y, x + s, y + s)) for i, (x, y, s) in enumerate((rnd.uniform(4, 5), rnd.uniform(50, 51), rnd.choice([0.0, 0.01, 0.3, 2.0])) for _ in range(200))]
+    return [*rows, (998, box(-200.0, -85.0, 200.0, 89.9)), (999, None)]
+
+
+BOXES = "face bigint, box struct<left: double, top: double, right: double, bottom: double>"
+
+
+def test_tiles_of_boxes_are_looked_up_without_a_join(spark, monkeypatch):
+    rnd = random.Random(8)
+    df = spark.createDataFrame(some_boxes(rnd), BOXES)
+    known = spark.createDataFrame([(rnd.uniform(3.9, 7.1), rnd.uniform(49.9, 53.1)) for _ in range(300)], "lon double, lat double").select(tiles.tile_of(F.col("lon"), F.col("lat")).alias("tile"))
+    known = known.unionByName(spark.createDataFrame([(None,), (0,), (2**28 - 1,)], "tile bigint"))
+    looked = faces.boxes_in_tiles(df, "face", "box", known)
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(faces, "HELD", 5)
+    joined = faces.boxes_in_tiles(df, "face", "box", known.distinct())
+    got = sorted(map(tuple, looked.collect()))
+    assert got == sorted(map(tuple, joined.collect())) and len(got) > 1000
+
+
+def test_index_of_tiles_forms_few_pairs_at_once():
+    import numpy as np
+
+    tile = np.array([y * 2**14 + x for y in range(0, 60, 3) for x in range(5, 90, 2)])
+    n = 400
+    rnd = np.random.default_rng(3)
+    x0, y0 = rnd.integers(-5, 95, n), rnd.integers(-5, 65, n)
+    x1, y1 = x0 + rnd.integers(0, 60, n), y0 + rnd.integers(0, 60, n)
+    index = faces.KnownTiles(tile, 14)
+    got = [p for i, t in index.touched(x0, x1, y0, y1) for p in zip(i.tolist(), index.tile[t].tolist(), strict=True)]
+    want = {(i, int(t)) for i in range(n) for t in tile if x0[i] <= t % 2**14 <= x1[i] and y0[i] <= t // 2**14 <= y1[i]}
+    assert len(got) == len(want) and set(got) == want
+    sizes = np.array([3, 9, 1, 0, 2, 2, 7])
+    assert [(c.start, c.stop) for c in faces.chunks(sizes, 4)] == [(0, 1), (1, 2), (2, 5), (5, 6), (6, 7)]
