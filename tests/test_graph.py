@@ -380,6 +380,23 @@ def test_tiles_of_boxes_are_looked_up_without_a_join(spark, monkeypatch):
     assert got == sorted(map(tuple, joined.collect())) and len(got) > 1000
 
 
+def test_outer_boxes_shuffle_a_row_for_every_tile_only(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = some_boxes(rnd)
+    df = spark.createDataFrame(rows, BOXES)
+    known = spark.createDataFrame([(rnd.uniform(3.9, 7.1), rnd.uniform(49.9, 53.1)) for _ in range(300)], "lon double, lat double").select(tiles.tile_of(F.col("lon"), F.col("lat")).alias("tile")).distinct()
+    met = faces.boxes_in_tiles(df, "face", "box", known).collect()
+    want, boxes = {}, dict(rows)
+    for t, i in met:
+        want.setdefault(t, []).append(boxes[i])
+    want = {(t, min(b["left"] for b in of), max(b["top"] for b in of), max(b["right"] for b in of), min(b["bottom"] for b in of)) for t, of in want.items()}
+    found = faces.outer_boxes(df, "box", known)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+    monkeypatch.setattr(faces, "HELD", 5)
+    assert {tuple(r) for r in faces.outer_boxes(df, "box", known).collect()} == want
+
+
 def test_index_of_tiles_forms_few_pairs_at_once():
     import numpy as np
 
