@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,20 +67,60 @@ def polygon_commands(ring: list[tuple[int, int]]) -> list[int]:
     return [*out, 1 << 3 | 7]
 
 
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of numbers from 0 to below 2^35, one behind the other, and where each begins."""
+    n = 1 + sum((values >= 1 << 7 * k).astype(int) for k in range(1, 5))
+    at = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(at[-1], np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(n > k)
+        out[at[some] + k] = values[some] >> 7 * k & 0x7F | np.where(n[some] > k + 1, 0x80, 0)
+    return out, at
+
+
+def outlines(points: np.ndarray, starts: np.ndarray, i: np.ndarray, box: np.ndarray, extent: int = 4096) -> pa.Array:
+    """``polygon_commands`` as bytes, of the closed rings number ``i`` in the units of the tiles with the boxes (left, top, right,
+    bottom). Rings (points one behind the other, and where each begins) have more than two points; halves are rounded away from 0."""
+    n = np.diff(starts)[i] - 1
+    own = np.repeat(np.arange(len(i)), n)
+    k = np.arange(len(own)) - (np.cumsum(n) - n)[own]
+    p, (left, top, right, bottom) = points[starts[i][own] + k], box.T
+    size = 2 * n + 3
+    base = np.cumsum(size) - size
+    values = np.zeros(int(size.sum()), np.int64)
+    values[base], values[base + 3], values[base + size - 1] = 1 << 3 | 1, (n - 1) << 3 | 2, 1 << 3 | 7
+    across = ((p[:, 0] - left[own]) / (right - left)[own], (top[own] - p[:, 1]) / (top - bottom)[own])
+    for axis, v in enumerate(across):
+        v = v * extent
+        whole = np.floor(np.abs(v))
+        unit = (np.sign(v) * (whole + (np.abs(v) - whole >= 0.5))).astype(np.int64)
+        step = np.diff(unit, prepend=0)
+        step[k == 0] = unit[k == 0]
+        values[base[own] + 1 + axis + 2 * k + (k > 0)] = step << 1 ^ step >> 63
+    raw, at = varints(values)
+    ends = at[np.append(base, len(values))]
+    return pa.Array.from_buffers(pa.large_binary(), len(i), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
+
+
 def vector_layer(name: str, rows: list[tuple[list[tuple[int, int]], dict]], extent: int = 4096) -> bytes:
     """A tile with one layer of polygons and their properties (text or numbers; null ones left out)."""
+    return encoded_layer(name, [(b"".join(map(_varint, polygon_commands(ring))), props) for ring, props in rows], extent)
+
+
+def encoded_layer(name: str, rows: list[tuple[bytes, dict]], extent: int = 4096) -> bytes:
+    """``vector_layer`` of polygons given by the bytes of their drawing commands."""
     keys: dict[str, int] = {}
     values: dict[object, int] = {}
-    body = b""
-    for ring, props in rows:
+    body = []
+    for commands, props in rows:
         tags = []
         for k, v in props.items():
             if v is not None:
                 tags += [keys.setdefault(k, len(keys)), values.setdefault(v, len(values))]
-        body += _field(2, _field(2, b"".join(map(_varint, tags))) + _field(3, 3) + _field(4, b"".join(map(_varint, polygon_commands(ring)))))
+        body.append(_field(2, _field(2, b"".join(map(_varint, tags))) + _field(3, 3) + _field(4, commands)))
     named = b"".join(_field(3, k.encode()) for k in keys)
     typed = b"".join(_field(4, _field(1, v.encode()) if isinstance(v, str) else _varint(3 << 3 | 1) + struct.pack("<d", float(v))) for v in values)
-    return _field(3, _field(15, 2) + _field(1, name.encode()) + body + named + typed + _field(5, extent))
+    return _field(3, b"".join((_field(15, 2), _field(1, name.encode()), *body, named, typed, _field(5, extent))))
 
 
 def tile_json(layer: str, min_zoom: int, max_zoom: int, url: str, description: str) -> dict:

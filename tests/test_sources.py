@@ -176,3 +176,34 @@ def test_edges_of_the_artifact_are_named_as_by_columns(spark):
     want = edges.select(identity.edge_guid(c).alias("guid"), identity.vertex_guid(a).alias("v1"), identity.vertex_guid(b).alias("v2"), F.slice(c, 2, F.size("pts") - 2).alias("shape"), "tags", a["tile"].alias("tile"))
     assert sorted(map(str, got["edge"].collect())) == sorted(map(str, want.collect()))
     assert got["vertex"].count() == 3
+
+
+def test_polygons_are_drawn_as_point_by_point(spark, monkeypatch):
+    import math
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for k in range(40):
+        x, y, s = rnd.uniform(4, 4.1), rnd.uniform(51, 51.1), rnd.choice([0.001, 0.05, 3.0])
+        ring = [(x + rnd.uniform(0, s), y + rnd.uniform(0, s)) for _ in range(rnd.randint(3, 6))]
+        rows.append((f"g{k % 38:02}", rnd.choice(["a", None]), rnd.choice([0.5, None]), [*ring, ring[0]]))
+    df = spark.createDataFrame(rows, "face_guid string, type string, share double, ring array<struct<lon: double, lat: double>>")
+    known = spark.createDataFrame([(rnd.uniform(4, 4.2), rnd.uniform(51, 51.2)) for _ in range(60)], "lon double, lat double").select(tiles.tile_of(F.col("lon"), F.col("lat")).alias("tile")).distinct()
+    corners = {r["tile"]: r["b"] for r in known.select("tile", tiles.box(F.col("tile")).alias("b")).collect()}
+    away = lambda v: int(math.copysign(math.floor(abs(v)) + (abs(v) % 1 >= 0.5), v))
+    want = {}
+    for g, t, s, ring in rows:
+        lon, lat = zip(*ring, strict=True)
+        for tile, b in corners.items():
+            if min(lon) < b["right"] and max(lon) >= b["left"] and min(lat) <= b["top"] and max(lat) > b["bottom"]:
+                at = [(away((x - b["left"]) / (b["right"] - b["left"]) * 4096), away((b["top"] - y) / (b["top"] - b["bottom"]) * 4096)) for x, y in ring]
+                commands = b"".join(map(features._varint, features.polygon_commands(at)))
+                want.setdefault(tile, []).append((g, commands, at, {"face_guid": g, "type": t, "share": s}))
+    want = {t: features.vector_layer("urban-polygons", [(at, p) for *_, at, p in sorted(of, key=lambda x: x[:2])]) for t, of in want.items()}
+    assert len(want) > 10
+    for held in (sink_queries.faces.HELD, 5):
+        monkeypatch.setattr(sink_queries.faces, "HELD", held)
+        got = sink_queries.layers(sink_queries.drawn(df, known)).collect()
+        assert {r["tile"]: bytes(r["mvt"]) for r in got} == want
+        assert all(r["n_bytes"] == len(r["mvt"]) for r in got)
