@@ -207,3 +207,39 @@ def test_polygons_are_drawn_as_point_by_point(spark, monkeypatch):
         got = sink_queries.layers(sink_queries.drawn(df, known)).collect()
         assert {r["tile"]: bytes(r["mvt"]) for r in got} == want
         assert all(r["n_bytes"] == len(r["mvt"]) for r in got)
+
+
+def test_binary_tiles_of_many_rows_are_those_of_single_ones(spark):
+    import random
+    import uuid
+
+    rnd = random.Random(5)
+    guid = lambda: str(uuid.UUID(int=rnd.getrandbits(128)))
+    cell = lambda: {"x": rnd.randint(0, 16383), "y": rnd.randint(-5, 16383), "tile": rnd.randint(0, 2**28)}
+    vs = [{"guid": guid(), **cell()} for _ in range(12)]
+    tag = lambda: rnd.choice([None, [], [{"k": "highway", "v": "é" * 70}, {"k": " ", "v": None}]])
+    es = [{"guid": guid(), "v1": rnd.choice(vs)["guid"], "v2": rnd.choice(vs)["guid"], "shape": [cell() for _ in range(rnd.randint(0, 3))], "tags": tag(), "tile": rnd.randint(1, 3)} for _ in range(40)]
+    fs = [{"guid": guid(), "shares": [{"type": "a", "share": 0.25}] * rnd.randint(0, 2), "tile": 2} for _ in range(6)]
+    fe = [{"face": f["guid"], "edge": rnd.choice(es)["guid"], "seq": rnd.randint(0, 99), "forward": rnd.random() < 0.5, "tile": 2} for f in fs for _ in range(3)]
+    c = "struct<x: int, y: int, tile: bigint>"
+    parts = {
+        "vertex": spark.createDataFrame(vs, "guid string, x int, y int, tile bigint"),
+        "edge": spark.createDataFrame(es, f"guid string, v1 string, v2 string, shape array<{c}>, tags array<struct<k: string, v: string>>, tile bigint"),
+        "face": spark.createDataFrame(fs, "guid string, shares array<struct<type: string, share: double>>, tile bigint"),
+        "face_edge": spark.createDataFrame(fe, "face string, edge string, seq bigint, forward boolean, tile bigint"),
+    }
+    files = artifact.binary_tiles(parts)
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
+    want = {}
+    for t in {e["tile"] for e in es}:
+        own = sorted((e for e in es if e["tile"] == t), key=lambda e: (e["v1"], e["guid"]))
+        far = {v for e in own for v in (e["v1"], e["v2"])}
+        faces = [f | {"edges": sorted((x for x in fe if x["face"] == f["guid"]), key=lambda x: (x["seq"], x["edge"], x["forward"]))} for f in sorted(fs, key=lambda f: f["guid"]) if f["tile"] == t]
+        want[t] = artifact.encode(sorted((v for v in vs if v["guid"] in far), key=lambda v: v["guid"]), own, faces)
+    got = {r["tile"]: bytes(r["file"]) for r in files.collect()}
+    assert {t: gzip.decompress(b) for t, b in got.items()} == {t: gzip.decompress(b) for t, b in want.items()} and len(want) == 3
+    for r in artifact.read_binary(files).collect():
+        v, e, f = artifact.decode(want[r["tile"]])
+        assert (r["n_vertices"], r["n_edges"], r["n_faces"]) == (len(v), len(e), len(f))
+        assert r["guids"] == ",".join(sorted(x["guid"] for x in (*v, *e, *f)))
