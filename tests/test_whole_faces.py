@@ -26,3 +26,10 @@ def wheel(spark, tmp_path_factory):
 def test_face_ring_of_many_edges(spark, wheel):
     got = [(r["n_edges"], r["n_points"]) for r in face_queries.face_ring(spark, wheel[0]).select("n_edges", "n_points").collect()]
     assert got == [(N, N + 1)] * 2
+
+
+def test_face_guid_of_many_edges(spark, wheel):
+    at, p = wheel
+    ring = np.array([*p, p[0]])
+    want = identity.face_guids(np.concatenate([ring, ring[::-1]]), np.array([0, N + 1, 2 * N + 2]))
+    assert sorted(r["face_guid"] for r in face_queries.face_guid(spark, at).collect()) == sorted(want)
