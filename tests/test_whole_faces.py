@@ -33,3 +33,9 @@ def test_face_guid_of_many_edges(spark, wheel):
     ring = np.array([*p, p[0]])
     want = identity.face_guids(np.concatenate([ring, ring[::-1]]), np.array([0, N + 1, 2 * N + 2]))
     assert sorted(r["face_guid"] for r in face_queries.face_guid(spark, at).collect()) == sorted(want)
+
+
+def test_face_polygons_of_many_edges(spark, wheel):
+    got = face_queries.face_polygons(spark, wheel[0]).select("n_edges", "signed_area", "is_outer").collect()
+    assert sorted((r["n_edges"], r["is_outer"]) for r in got) == [(N, False), (N, True)]
+    assert all(abs(r["signed_area"]) == pytest.approx(math.pi * 0.09, rel=1e-6) for r in got)
