@@ -39,3 +39,9 @@ def test_face_polygons_of_many_edges(spark, wheel):
     got = face_queries.face_polygons(spark, wheel[0]).select("n_edges", "signed_area", "is_outer").collect()
     assert sorted((r["n_edges"], r["is_outer"]) for r in got) == [(N, False), (N, True)]
     assert all(abs(r["signed_area"]) == pytest.approx(math.pi * 0.09, rel=1e-6) for r in got)
+
+
+def test_faces_in_tile_of_many_edges(spark, wheel):
+    at = wheel[0]
+    known = spark.read.parquet(f"{at}/vertex.parquet").select("tile").distinct().count()
+    assert face_queries.faces_in_tile(spark, at).count() == 2 * known
