@@ -45,3 +45,8 @@ def test_faces_in_tile_of_many_edges(spark, wheel):
     at = wheel[0]
     known = spark.read.parquet(f"{at}/vertex.parquet").select("tile").distinct().count()
     assert face_queries.faces_in_tile(spark, at).count() == 2 * known
+
+
+def test_outer_box_of_many_edges(spark, wheel):
+    r = face_queries.outer_box(spark, wheel[0]).first()
+    assert [r[k] for k in ("left", "top", "right", "bottom")] == pytest.approx([4.2, 51.3, 4.8, 50.7], abs=1e-6)
