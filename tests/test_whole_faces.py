@@ -1,12 +1,14 @@
 """Faces of very many edges, and tiles of faces only, come whole through the queries."""
 
+import gzip
 import math
 
 import numpy as np
 import pytest
 
 from planarloom.functions import identity
-from planarloom.plans import face_queries
+from planarloom.plans import face_queries, sink_queries
+from planarloom.sources import artifact
 
 N = 66_000
 
@@ -50,3 +52,21 @@ def test_faces_in_tile_of_many_edges(spark, wheel):
 def test_outer_box_of_many_edges(spark, wheel):
     r = face_queries.outer_box(spark, wheel[0]).first()
     assert [r[k] for k in ("left", "top", "right", "bottom")] == pytest.approx([4.2, 51.3, 4.8, 50.7], abs=1e-6)
+
+
+def test_artifact_binary_of_many_edges(spark, wheel):
+    assert sum(r["n_faces"] for r in sink_queries.artifact_binary(spark, wheel[0]).collect()) == 2
+
+
+def test_binary_tiles_of_faces_only(spark):
+    c = "struct<x: int, y: int, tile: bigint>"
+    a, b, e, f = (f"{k}" * 8 + "-0000-5000-8000-000000000000" for k in "1234")
+    parts = {
+        "vertex": spark.createDataFrame([(a, 1, 2, 5), (b, 3, 4, 5)], "guid string, x int, y int, tile bigint"),
+        "edge": spark.createDataFrame([(e, a, b, [], None, 5)], f"guid string, v1 string, v2 string, shape array<{c}>, tags array<struct<k: string, v: string>>, tile bigint"),
+        "face": spark.createDataFrame([(f, [], 6)], "guid string, shares array<struct<type: string, share: double>>, tile bigint"),
+        "face_edge": spark.createDataFrame([(f, e, 0, True, 6)], "face string, edge string, seq bigint, forward boolean, tile bigint"),
+    }
+    got = {r["tile"]: bytes(r["file"]) for r in artifact.binary_tiles(parts).collect()}
+    assert got.keys() == {5, 6} and gzip.decompress(got[6])
+    assert artifact.decode(got[6]) == ([], [], [{"guid": f, "edges": [{"edge": e, "forward": True}], "shares": []}])
