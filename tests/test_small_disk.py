@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from planarloom.operators import graph
+from planarloom.operators import faces, graph
 from planarloom.plans import face_queries
 from planarloom.runtime import Workspace
 
@@ -51,7 +51,7 @@ def test_the_flow_keeps_only_the_tables_it_returns(spark, tmp_path, monkeypatch)
 
     monkeypatch.setattr(face_queries, "Workspace", Kept)
     t = face_queries.built(spark, street_net(spark, str(tmp_path)), "polygons")
-    assert set(os.listdir(made[0])) == set(t) and t["polygons"].count() > 50
+    assert set(os.listdir(made[0])) == {"graph", "traced", "rest-faces", "rest-rings", "polygons"} and t["polygons"].count() > 50
 
 
 def test_dead_ends_of_blocks_are_those_of_rounds(spark, tmp_path):
@@ -63,6 +63,16 @@ def test_dead_ends_of_blocks_are_those_of_rounds(spark, tmp_path):
     assert blocks > 5 and got[0] == got[1] and 0 < len(got[0]) < net.count()
 
 
+def test_loops_followed_in_blocks_are_those_of_joins(spark, tmp_path):
+    edges = face_queries.built(spark, street_net(spark, str(tmp_path), seed=4), "graph")["graph"]
+    assigned, ringed = faces.trace(edges, Workspace(spark, "t"))
+    plain = faces.assign_faces(edges, Workspace(spark, "t"))
+    key = lambda df, *c: sorted(tuple(r[k] for k in c) for r in df.collect())
+    want = key(plain, "h", "e", "face")
+    assert key(assigned, "h", "e", "face") == want and len(want) > 200
+    assert key(ringed, "face", "n_edges", "ring") == key(faces.rings(plain, edges), "face", "n_edges", "ring")
+
+
 def test_pieces_on_the_same_points_are_kept_once(spark):
     a, b, c = (4.0, 51.0), (4.01, 51.0), (4.0, 51.01)
     rows = [(1, 0, 1, 2, [a, b], None), (2, 0, 2, 1, [b, a], None), (3, 0, 1, 3, [a, c], None), (4, 0, 1, 1, [a, a], None), (5, 1, 1, 3, [a, c], None)]
