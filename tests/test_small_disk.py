@@ -51,7 +51,7 @@ def test_the_flow_keeps_only_the_tables_it_returns(spark, tmp_path, monkeypatch)
 
     monkeypatch.setattr(face_queries, "Workspace", Kept)
     t = face_queries.built(spark, street_net(spark, str(tmp_path)), "polygons")
-    assert set(os.listdir(made[0])) == {"graph", "traced", "rest-faces", "rest-rings", "polygons"} and t["polygons"].count() > 50
+    assert set(os.listdir(made[0])) == {"chained", "rest-chains", "traced", "rest-faces", "rest-rings", "polygons"} and t["polygons"].count() > 50
 
 
 def test_dead_ends_of_blocks_are_those_of_rounds(spark, tmp_path):
@@ -73,6 +73,22 @@ def test_loops_followed_in_blocks_are_those_of_joins(spark, tmp_path):
     assert key(ringed, "face", "n_edges", "ring") == key(faces.rings(plain, edges), "face", "n_edges", "ring")
 
 
+def test_chains_of_blocks_are_those_of_joins(spark, tmp_path):
+    from planarloom.sources.tables import line_edges
+
+    net = graph.numbered(graph.split(line_edges(spark, street_net(spark, str(tmp_path), seed=5))))
+    # A ring of its own, and one on two vertices.
+    cell = lambda x, y: ((51 << 14) + x << 28) + y
+    ring = [cell(8000, 1), cell(8000, 2), cell(8001, 3), cell(8001, 4)]
+    p = [(4.0 + k, 50.0) for k in range(4)]
+    rows = [(10 - k, ring[k], ring[(k + 1) % 4], [p[k], p[(k + 1) % 4]], None if k % 2 else []) for k in range(4)]
+    a, b = cell(9000, 1), cell(9000, 2)
+    rows += [(20, a, b, [p[0], p[2], p[1]], [("x", "y"), ("a", "b")]), (21, a, b, [p[0], p[3], p[1]], [("a", "b"), ("x", "y")])]
+    net = Workspace(spark, "t").cut(graph.prune_dead_ends(net.unionByName(spark.createDataFrame(rows, EDGE)), Workspace(spark, "t")), "net")
+    got = [sorted(map(str, f(net, Workspace(spark, "t")).select("e", "v1", "v2", "pts", "tags", "n_edges").collect())) for f in (graph.contract_blocks, graph.contract_chains)]
+    assert got[0] == got[1] and 50 < len(got[0]) < net.count()
+
+
 def test_pieces_on_the_same_points_are_kept_once(spark):
     a, b, c = (4.0, 51.0), (4.01, 51.0), (4.0, 51.01)
     rows = [(1, 0, 1, 2, [a, b], None), (2, 0, 2, 1, [b, a], None), (3, 0, 1, 3, [a, c], None), (4, 0, 1, 1, [a, a], None), (5, 1, 1, 3, [a, c], None)]
