@@ -73,6 +73,13 @@ def test_loops_followed_in_blocks_are_those_of_joins(spark, tmp_path):
     assert key(ringed, "face", "n_edges", "ring") == key(faces.rings(plain, edges), "face", "n_edges", "ring")
 
 
+def test_cycles_keep_every_id_once(spark):
+    n, work = 40, Workspace(spark, "t")
+    steps = spark.range(n).select("id", F.when(F.col("id") == 7, 0).when(F.col("id") == n - 1, 8).otherwise(F.col("id") + 1).cast("bigint").alias("nx"))
+    assert graph.cycles(steps, work, "c").count() == n
+    assert sum(spark.read.parquet(f"{work.path}/{t}").count() for t in os.listdir(work.path)) == n
+
+
 def test_chains_of_blocks_are_those_of_joins(spark, tmp_path):
     from planarloom.sources.tables import line_edges
 
